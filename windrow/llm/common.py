@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab and the four line breaks of ASCII.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-BLANK = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+BLANKS = "\t\n\v\f\r"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
@@ -19,8 +22,54 @@ def words_of(text: str | None) -> list[str]:
     """Words of a whole text; the five other blanks become spaces first, so that split(" ") sees one separator."""
     if not text:
         return []
-    found = text.translate(BLANK).split(" ")
-    return [w for w in found if w] if "" in found else found
+    for blank in BLANKS:
+        if blank in text:
+            text = text.replace(blank, " ")
+    return list(filter(None, text.split(" ")))
+
+
+def lower_az(text: str) -> str:
+    """Lower-case A-Z only."""
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
+def slices(batches: Iterable[pa.RecordBatch], chars: int = 6_000_000) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) in pieces of bounded text size, whatever the size of the Arrow batches; null texts are empty."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        at = held = 0
+        for i, text in enumerate(texts):
+            texts[i] = text or ""
+            held += len(texts[i])
+            if held >= chars:
+                yield ids[at : i + 1], texts[at : i + 1]
+                at, held = i + 1, 0
+        if at < len(ids):
+            yield ids[at:], texts[at:]
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit number a word, the same in every process."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def offsets(counts: Iterable[int]) -> np.ndarray:
+    """Starts of consecutive runs of the given lengths, and the end."""
+    counts = np.fromiter(counts, np.int64)
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash for each run of ``width`` neighbours in h (runs across documents are the caller's to leave out)."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : k + n]
+        out ^= out >> np.uint64(29)
+    return mix64(out)
 
 
 def ascii_lower(text: Column) -> Column:
