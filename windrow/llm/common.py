@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab and the four line breaks of ASCII.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANKS = "\t\n\v\f\r"
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -29,8 +28,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def lower_az(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    """Lower-case A-Z only: bytes.lower() touches no byte beyond ASCII."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def slices(batches: Iterable[pa.RecordBatch], chars: int = 6_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -96,3 +95,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
+
+
+def numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The place of each word in the list of distinct words, and that list."""
+    known: dict[str, int] = {}
+    place = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    return place, list(known)
+
+
+def word_bytes(words: list[str], mark: bytes = b"\x01") -> tuple[np.ndarray, np.ndarray]:
+    """All words as UTF-8 in one array, each between two marks, and the starts of the words in it (and the end)."""
+    raw = [mark + w.encode("utf-8", "surrogatepass") + mark for w in words]
+    return np.frombuffer(b"".join(raw), np.uint8), offsets(map(len, raw))
+
+
+def run_sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums over consecutive runs; empty runs give zero."""
+    total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)])
+    return total[at[1:]] - total[at[:-1]]
