@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import exact_dedup, hmm, langid, quality
+from windrow.llm import exact_dedup, hmm, langid, quality, toxicity
 from windrow.session import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
