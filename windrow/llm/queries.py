@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import exact_dedup, hmm, langid, quality, toxicity
+from windrow.llm import exact_dedup, hmm, jaccard_join, langid, quality, toxicity
 from windrow.session import table
 
 
@@ -30,6 +30,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_lm_scoring": op7_lm_scoring,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
+        "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
