@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import exact_dedup, hmm, jaccard_join, langid, quality, toxicity
+from windrow.llm import exact_dedup, hmm, jaccard_join, langid, quality, sharding, token_files, toxicity
 from windrow.session import table
 
 
@@ -18,6 +18,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_corpus(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_toxicity": op3_toxicity,
+        "op4_token_files": op4_token_files,
+        "op6_sharding": op6_sharding,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
