@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from windrow.plans import near_dup, text_queries, triage
+
+MODULES = (near_dup, text_queries, triage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
