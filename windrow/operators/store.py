@@ -43,7 +43,7 @@ def close_unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Open rows whose id was not seen are closed; everything else stays."""
     marked = rows.join(seen.select(*KEY).distinct().withColumn("__seen", F.lit(True)), KEY, "left")
     closes = (F.col("state") == "open") & F.col("__seen").isNull()
-    return marked.withColumn("state", F.when(closes, "closed").otherwise(F.col("state"))).withColumn("closed_now", closes).drop("__seen")
+    return marked.withColumns({"state": F.when(closes, "closed").otherwise(F.col("state")), "closed_now": closes}).drop("__seen")
 
 
 def cache_probe(entities: DataFrame, cache: DataFrame, model: str) -> DataFrame:
