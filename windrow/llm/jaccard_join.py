@@ -7,8 +7,9 @@
 3. Tiles are banded by size: only sets whose sizes allow the threshold are paired. Small tiles pair within one task.
    Large tiles first pair each class with the tile's leader of its band and the band below; after these links are
    known, classes outside a tile's main component are paired with the others of the tile in other components.
-4. Pairs are checked in batches to which each set is sent once: bitmaps of hashed shingles bound the overlap from
-   above by counts of bits, and the pairs left, unless already connected, are intersected exactly.
+4. Pairs are checked in batches to which each set is sent once: first only bitmaps of hashed shingles, whose counts of
+   bits bound the overlap from above; then, for the pairs left, the sets themselves, which are intersected exactly
+   unless the pair is already connected.
 5. Components of the links by iterative joins.
 
 Cases: a text with fewer words than the width is one shingle of all its words; texts without words (null, empty)
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from windrow.llm.common import id_text, lower_az, mix64, numbered, offsets, slices, windows, word_hashes, words_of
 from windrow.operators.components import components
-from windrow.session import materialise
+from windrow.session import materialise, release
 
 SMALL_TILE = 128
 BATCH_PAIRS = 6_000
@@ -71,7 +72,8 @@ def _local_frequent(width: int, least: int):  # noqa: ANN202
 def frequent_shingles(docs: DataFrame, width: int, least: int = 64, most: int = 100_000) -> dict[str, np.ndarray]:
     """Shingles that many documents hold, with approximate counts: at most ``most``, sorted by hash."""
     found = id_text(docs).mapInArrow(_local_frequent(width, 3), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    levels = found.where(F.col("n") >= least).groupBy(F.floor(4 * F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()
+    found = materialise(found.where(F.col("n") >= least), "frequent")
+    levels = found.groupBy(F.floor(4 * F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()
     taken, lowest = 0, None
     for r in levels:
         if taken + r["count"] > most:
@@ -79,14 +81,15 @@ def frequent_shingles(docs: DataFrame, width: int, least: int = 64, most: int =
         taken, lowest = taken + r["count"], r["level"]
     if lowest is None:
         return {"token": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64)}
-    rows = found.where((F.col("n") >= least) & (F.floor(4 * F.log2("n")) >= lowest)).toArrow()
+    rows = found.where(F.floor(4 * F.log2("n")) >= lowest).toArrow()
+    release(found)
     token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(token)
     return {"token": token[order], "n": n[order]}
 
 
 def _classes(docs: DataFrame, width: int, percent: int, hot: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, n, the 128-bit digest of the set, its prefix and how many of the prefix's shingles are frequent."""
+    """doc_id, n, the 128-bit digest of the set, its prefix, how many of that are not frequent, and its bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +113,14 @@ def _classes(docs: DataFrame, width: int, percent: int, hot: dict[str, np.ndarra
             first, ranks = keys[order][take], rank[order][take]
             ends = offsets(np.minimum(length, n) * (n > 0))
             hot_from = np.bincount(owner[take], ranks == 0, len(texts)).astype(np.int64)
+            maps = [bitmap(keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first.view(np.int64)))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array(hot_from), prefix],
-                ["doc_id", "n", "d1", "d2", "own", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), pa.array(hot_from), prefix, pa.array(maps, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "own", "prefix", "bits"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, own long, prefix array<long>")
+    return id_text(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, own long, prefix array<long>, bits binary")
 
 
 def _allows(na, nb, percent: int):  # noqa: ANN001, ANN202
@@ -177,26 +181,36 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return picked.mapInArrow(run, "rep long, keys binary").dropDuplicates(["rep"])
 
 
-def _bitmaps(arrays: list[np.ndarray], bits: int = 2048) -> np.ndarray:
-    out = np.zeros((len(arrays), bits), bool)
-    for i, a in enumerate(arrays):
-        out[i, (a % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
-
-
-def check_batch(reps: np.ndarray, arrays: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a batch that connect it: a spanning forest of all pairs that reach the threshold."""
-    order = np.argsort(reps)
-    ia, ib = (order[np.searchsorted(reps, x, sorter=order)] for x in (a, b))
-    n = np.fromiter(map(len, arrays), np.int64, len(arrays))
-    need = -(-percent * (n[ia] + n[ib]) // (100 + percent))
-    maps = _bitmaps(arrays)
-    ok = np.zeros(len(a), bool)
-    for at in range(0, len(a), 50_000):
-        x, y = maps[ia[at : at + 50_000]], maps[ib[at : at + 50_000]]
-        only_x, only_y = np.bitwise_count(x & ~y).sum(axis=1), np.bitwise_count(y & ~x).sum(axis=1)
-        bound = np.minimum(n[ia[at : at + 50_000]] - only_x, n[ib[at : at + 50_000]] - only_y)
-        ok[at : at + 50_000] = bound >= need[at : at + 50_000]
+def bitmap(keys: np.ndarray) -> bytes:
+    """Bits of the hashed shingles; the width is a power of two of about twice the size, 256 to 16,384 bits."""
+    width = min(16_384, max(256, 1 << int(2 * len(keys)).bit_length()))
+    out = np.zeros(width, bool)
+    out[(keys % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def bounded(n: np.ndarray, maps: list[bytes], ia: np.ndarray, ib: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs can still reach ``need``: every bit that one bitmap alone has is a shingle that the other lacks.
+    Bitmaps of different widths are compared at the smaller one, to which the larger folds."""
+    width = np.fromiter((len(m) for m in maps), np.int64, len(maps))
+    ok = np.zeros(len(ia), bool)
+    common = np.minimum(width[ia], width[ib])
+    for w in np.unique(common):
+        pick = np.flatnonzero(common == w)
+        used, spot = np.unique(np.concatenate([ia[pick], ib[pick]]), return_inverse=True)
+        folded = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[i], np.uint8).reshape(-1, w), axis=0) for i in used]).view(np.uint64)
+        left, right = spot[: len(pick)], spot[len(pick) :]
+        for at in range(0, len(pick), 20_000):
+            part = pick[at : at + 20_000]
+            x, y = folded[left[at : at + 20_000]], folded[right[at : at + 20_000]]
+            only_x = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+            only_y = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+            ok[part] = np.minimum(n[ia[part]] - only_x, n[ib[part]] - only_y) >= need[part]
+    return ok
+
+
+def connecting(arrays: list[np.ndarray], ia: np.ndarray, ib: np.ndarray, need: np.ndarray) -> list[int]:
+    """Pairs that reach ``need`` by exact intersection and connect what no earlier pair did."""
     parent = list(range(len(arrays)))
 
     def root(i: int) -> int:
@@ -206,18 +220,17 @@ def check_batch(reps: np.ndarray, arrays: list[np.ndarray], a: np.ndarray, b: np
         return i
 
     links = []
-    for k in np.flatnonzero(ok):
+    for k in range(len(ia)):
         i, j = root(int(ia[k])), root(int(ib[k]))
         if i != j and len(np.intersect1d(arrays[ia[k]], arrays[ib[k]], assume_unique=True)) >= need[k]:
             parent[i] = j
-            links.append((int(a[k]), int(b[k])))
+            links.append(k)
     return links
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: links among the pairs that connect all that the pairs connect."""
-    n_pairs = pairs.count()
-    batches = max(12, n_pairs // BATCH_PAIRS + 1)
+def _batched(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, key: pairs in batches of bounded size, those around one set together; and the sets of each batch."""
+    batches = max(12, pairs.count() // BATCH_PAIRS + 1)
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
     label = ends.groupBy("rep").agg(F.min("o").alias("m")).select("rep", F.least("rep", "m").alias("label"))
     sized = pairs.join(label.withColumnRenamed("rep", "a"), "a").select("a", "b", "label")
@@ -226,28 +239,57 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
         sized.join(weight, "label").select(
             "a", "b", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(batches)).alias("key")
         ),
-        "pairs",
+        "batches",
     )
     members = keyed.select("key", F.col("a").alias("rep")).unionByName(keyed.select("key", F.col("b").alias("rep"))).distinct()
-    sets = materialise(_sets(docs, members.select("rep").distinct(), width), "sets")
-    sent = members.join(sets, "rep").select(F.col("key").alias("batch"), "rep", "keys")
+    return keyed, members
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links among the pairs that connect all that the pairs connect."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def places(left: pa.Table, right: pa.Table, n: np.ndarray) -> tuple[np.ndarray, ...]:
         reps = right.column("rep").to_numpy()
+        order = np.argsort(reps)
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        ia, ib = (order[np.searchsorted(reps, x, sorter=order)] for x in (a, b))
+        return a, b, ia, ib, -(-percent * (n[ia] + n[ib]) // (100 + percent))
+
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = right.column("n").to_numpy()
+        a, b, ia, ib, need = places(left, right, n)
+        ok = bounded(n, right.column("bits").to_pylist(), ia, ib, need)
+        return pa.table({"a": a[ok], "b": b[ok]})
+
+    def exact(left: pa.Table, right: pa.Table) -> pa.Table:
         arrays = [np.frombuffer(x, np.uint64) for x in right.column("keys").to_pylist()]
-        links = check_batch(reps, arrays, left.column("a").to_numpy(), left.column("b").to_numpy(), percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return keyed.groupBy("key").cogroup(sent.groupBy("batch")).applyInArrow(run, "a long, b long")
+        a, b, ia, ib, need = places(left, right, np.fromiter(map(len, arrays), np.int64, len(arrays)))
+        k = np.array(connecting(arrays, ia, ib, need), np.int64)
+        return pa.table({"a": a[k], "b": b[k]})
+
+    keyed, members = _batched(pairs)
+    maps = members.join(classes.select("rep", "n", "bits"), "rep").select(F.col("key").alias("batch"), "rep", "n", "bits")
+    left = materialise(keyed.groupBy("key").cogroup(maps.groupBy("batch")).applyInArrow(bound, "a long, b long"), "bounded")
+    release(keyed)
+    keyed, members = _batched(left)
+    sets = materialise(_sets(docs, members.select("rep").distinct(), width), "sets")
+    sent = members.join(sets, "rep").select(F.col("key").alias("batch"), "rep", "keys")
+    links = materialise(keyed.groupBy("key").cogroup(sent.groupBy("batch")).applyInArrow(exact, "a long, b long"), "links")
+    for used in (keyed, left, sets):
+        release(used)
+    return links
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     hot = frequent_shingles(docs, width)
-    table = materialise(_classes(docs, width, percent, hot), "prefixes")
+    whole = materialise(_classes(docs, width, percent, hot), "prefixes")
+    table = materialise(whole.select("doc_id", "n", "d1", "d2"), "digests")
     named = table.where("doc_id IS NOT NULL AND n > 0")
-    classes = named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("own").alias("own"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes.select("rep", "n", "own", "prefix"), "classes")
+    same = whole.where("doc_id IS NOT NULL AND n > 0").groupBy("d1", "d2", "n")
+    classes = same.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("own", "prefix", "bits")))
+    classes = materialise(classes.select("rep", "n", "own", "prefix", "bits"), "classes")
+    release(whole)
     entries = classes.select("rep", "n", "own", F.posexplode("prefix").alias("pos", "token"))
     rare = entries.where("pos < own").select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
     tiles = materialise(rare.repartition("token").mapInArrow(_tile_pairs(percent), "a long, b long, token long, n long, pos long"), "tiles")
@@ -262,7 +304,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         percent * F.greatest("n", "ln") <= 100 * F.least("n", "ln")
     ).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
     pairs = materialise(tiles.where("b IS NOT NULL").select("a", "b").unionByName(star).distinct(), "candidates")
-    links = materialise(verified(docs, pairs, width, percent), "links")
+    links = verified(docs, classes, pairs, width, percent)
     if not large.isEmpty():
         comp = materialise(components(links), "comp")
         placed = large.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -282,8 +324,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         )
         more = materialise(more, "more")
         if not more.isEmpty():
-            links = materialise(links.unionByName(verified(docs, more, width, percent)), "links")
-    comp = components(links)
+            links = links.unionByName(verified(docs, classes, more, width, percent))
+    comp = materialise(components(links), "comp")
+    release(classes)
     by_set = named.select("doc_id", "n", "d1", "d2")
     reps = by_set.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     found = reps.join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
