@@ -25,7 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import id_text, numbered, offsets, slices
+from windrow.llm.common import id_text, offsets, slices
 from windrow.session import materialise
 
 AMONG_BLANKS = re.compile(r"\s (?=\s|\Z)")
@@ -41,7 +41,7 @@ AMONG_BLANKS = re.compile(r"\s (?=\s|\Z)")
 FIRST = "\udc00"
 HEAD = struct.Struct("<4sIIIQ")
 MAGIC = b"RPG1"
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def default_tokenizer() -> str:
@@ -51,54 +51,111 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct word."""
+    """The tokenizers library, asked once for each distinct run of letters, digits, marks or blanks.
+
+    Words stand for themselves with the space before them; those with FIRST in front for what follows it. A word that is
+    more than one run takes the ids of its runs, as the tokenizer cuts there before it merges."""
 
     def __init__(self, path: str, most: int = 400_000) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.runs = regex.compile(public_tokenizers.PATTERN).findall
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.most = most
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.used = 0
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        at = len(self.slot)
+        while at + len(words) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.slot.update(zip(words, range(at, at + len(words)), strict=True))
+        self.sizes[at : at + len(words)] = sizes
+        self.starts[at : at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: runs first (spaced runs of letters many to a text, as each begins with a spaced id)."""
+        letters = [w for w in words if w.isalpha()]
+        mixed = [w for w in words if not w.isalpha()]
+        parts = []
+        for w in mixed:
+            found = self.runs(w[1:] if w[0:1] == FIRST else " " + w)
+            parts.append([p[1:] if len(p) > 1 and p[0] == " " else FIRST + p for p in found])
+        known = set(letters)
+        new = [k for k in dict.fromkeys(chain.from_iterable(parts)) if k not in self.slot and k not in known]
+        letters += [k for k in new if k.isalpha()]
+        for at in range(0, len(letters), 20_000):
+            some = letters[at : at + 20_000]
+            ids = np.fromiter(chain.from_iterable(self._ask([" " + " ".join(some[i : i + 200]) for i in range(0, len(some), 200)])), np.int32)
+            begin = np.flatnonzero(self.spaced[ids])
+            if len(begin) != len(some):
+                raise ValueError("the tokenizer does not begin words with spaced ids")
+            self._add(some, np.diff(np.concatenate([begin, [len(ids)]])), ids)
+        others = [k for k in new if not k.isalpha()]
+        asked = self._ask([k[1:] if k[0] == FIRST else " " + k for k in others])
+        self._add(others, np.fromiter(map(len, asked), np.int64, len(asked)), np.fromiter(chain.from_iterable(asked), np.int32))
+        whole = [(w, p) for w, p in zip(mixed, parts, strict=True) if w not in self.slot]
+        if whole:
+            n = np.fromiter((len(p) for _, p in whole), np.int64, len(whole))
+            place = np.fromiter((self.slot[k] for _, p in whole for k in p), np.int64, int(n.sum()))
+            ids, at = self._spread(place)
+            bounds = at[offsets(n)]
+            self._add([w for w, _ in whole], np.diff(bounds), ids)
+
+    def _spread(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their places, and the starts of the words in them."""
+        long = self.sizes[place]
+        at = offsets(long)
+        step = np.ones(int(at[-1]), np.int64)
+        full = np.flatnonzero(long)
+        if len(full):
+            begin = self.starts[place[full]]
+            step[at[full]] = begin - np.concatenate([[0], begin[:-1] + long[full][:-1] - 1])
+        return self.flat[np.cumsum(step)], at
+
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the starts of the texts."""
+        if len(self.slot) > self.most:
+            self._forget()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
-        whole = [i for i, t in enumerate(texts) if AMONG_BLANKS.search(t)]
-        odd = set(whole)
+        odd = {i for i, t in enumerate(texts) if AMONG_BLANKS.search(t)}
         for i, text in enumerate(texts):
             if text and i not in odd:
                 parts = text.split(" ")
                 parts[0] = FIRST + parts[0]
                 words += parts
                 counts[i] = len(parts)
-        place, distinct = numbered(words)
-        if len(self.known) > self.most:
-            self.known.clear()
-        missing = [w for w in distinct if w not in self.known]
-        asked = self._ask([w[1:] if w.startswith(FIRST) else " " + w for w in missing])
-        self.known.update(zip(missing, map(tuple, asked), strict=True))
-        pieces = [self.known[w] for w in distinct]
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(n.sum()))
-        starts = offsets(n)[:-1]
-        long = n[place]
-        spread = np.arange(int(long.sum())) + np.repeat(starts[place] - offsets(long)[:-1], long)
-        ids = flat[spread]
-        size = np.zeros(len(texts), np.int64)
-        np.add.at(size, np.repeat(np.arange(len(texts)), counts), long)
-        at = offsets(size)
-        if whole:
-            direct = self._ask([texts[i] for i in whole])
+        place = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        gaps = np.flatnonzero(place < 0)
+        if len(gaps):
+            missing = [words[i] for i in gaps.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            place[gaps] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
+        del words
+        ids, ends = self._spread(place)
+        at = ends[offsets(counts)]
+        if odd:
             parts = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            for i, got in zip(whole, direct, strict=True):
+            for i, got in zip(sorted(odd), self._ask([texts[i] for i in sorted(odd)]), strict=True):
                 parts[i] = np.array(got, np.int32)
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            ids, at = np.concatenate(parts), offsets(size)
+            ids, at = np.concatenate(parts), offsets(map(len, parts))
         out = np.full(len(ids) + len(texts), end, np.int32)
         mask = np.ones(len(out), bool)
         mask[at[1:] + np.arange(len(texts))] = False
