@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions.text import kind_of
 from windrow.operators.components import components
+from windrow.operators.ranking import global_index
 from windrow.session import materialise
 
 
@@ -123,3 +124,9 @@ def clusters(nodes: DataFrame, edges: DataFrame, cfg: dict[str, Any]) -> DataFra
     merged = materialise(group(nodes, merge_edges(edges)), "merged")
     pruned = materialise(prune_tails(merged, edges, cfg["similarity"]["cluster_tail_prune_score"]), "pruned")
     return split_large(pruned, edges, cfg)
+
+
+def number(types: DataFrame) -> DataFrame:
+    """``types`` with cluster_id ``cluster-N``, by size and then by the smallest member (which names a component)."""
+    placed = global_index(types, F.desc("n"), F.asc("component"))
+    return placed.withColumn("cluster_id", F.concat(F.lit("cluster-"), (F.col("index") + 1).cast("string"))).drop("index")

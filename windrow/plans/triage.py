@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow import config
-from windrow.operators import candidates, canonical, fingerprint, graph, lowpass, scoring, sketch
+from windrow import config, engine
+from windrow.operators import candidates, canonical, fingerprint, graph, lowpass, scoring
 from windrow.plans.adapters import AS_OF, ENTITIES, entities
 from windrow.session import materialise, table
 
-CFG = config.merged({"low_pass": {"suppress_bot_authors": True, "ignore_recent_pr_hours": 48}})
+CFG = config.merged({"low_pass": {"suppress_bot_authors": True, "ignore_recent_pr_hours": 48}, "embedding": {"dims": 64}})
 
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -115,77 +115,49 @@ W_TOPK = _VOTES + """ SELECT * FROM (SELECT entity_id, other, votes, row_number(
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    active = _filtered(spark, d).where("filter_state = 'pass'")
-    base = fingerprint.assemble(active)
-    embedded = fingerprint.hash_embedding(base.select("entity_id", F.array_join("tokens", " ").alias("t")), "entity_id", "t", 64)
-    dense = embedded.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    dense = dense.select(F.col("key").alias("entity_id"), vector.alias("text_embedding"))
-    sims = sketch.simhash(base, "entity_id", F.col("tokens")).select(F.col("key").alias("entity_id"), "simhash")
-    sigs = sketch.minhash(base, "entity_id", F.col("tokens"), 3, 16).select(F.col("key").alias("entity_id"), "signature")
-    grams = sketch.winnow(base, "entity_id", F.col("tokens")).groupBy("key").agg(F.collect_set("h").alias("winnow")).withColumnRenamed("key", "entity_id")
-    is_pr = F.col("lane") == "pr"
-    joined = base.join(dense, "entity_id", "left").join(sims, "entity_id", "left").join(sigs, "entity_id", "left").join(grams, "entity_id", "left")
-    zero, none = F.array_repeat(F.lit(0.0), 64), F.array().cast("array<bigint>")
-    return materialise(joined.withColumns({
-        "text_embedding": F.coalesce("text_embedding", zero), "diff_embedding": F.array().cast("array<double>"),
-        "simhash": F.when(is_pr, F.col("simhash")), "signature": F.when(is_pr, F.col("signature")).otherwise(none),
-        "winnow": F.when(is_pr, F.coalesce("winnow", none)).otherwise(none),
-    }), "fingerprints")
+    return materialise(engine.fingerprints(_filtered(spark, d).where("filter_state = 'pass'"), CFG), "fingerprints")
 
 
-_PAIR = ("patch_ids", "hunk_signatures", "changed_files", "title_tokens", "linked_issues", "soft_linked_issues", "text_embedding", "diff_embedding", "signature", "simhash", "winnow", "additions", "deletions")
+def _run(spark: SparkSession, d: str) -> engine.Report:
+    return engine.run(entities(spark, d), CFG, F.to_timestamp(F.lit(AS_OF)))
 
 
-def _pairs(fp: DataFrame) -> DataFrame:
-    rows = candidates.keys(fp, {"hard": "linked_issues", "soft": "soft_linked_issues", "file": "changed_files", "patch": "patch_ids"})
-    found = candidates.votes(candidates.without_hot(rows, {"file": 300}))
-    pairs = candidates.unordered(candidates.top_candidates(found, CFG, fp.count()))
-    a = fp.select(F.col("entity_id").alias("entity_a"), F.col("lane").alias("kind_a"), F.struct(*_PAIR).alias("a"))
-    b = fp.select(F.col("entity_id").alias("entity_b"), F.col("lane").alias("kind_b"), F.struct(*_PAIR).alias("b"))
-    return pairs.join(a, "entity_a").join(b, "entity_b")
-
-
-_METRICS = ("lineage", "structure", "hunk_overlap", "file_overlap", "title_salient", "hard_link", "soft_link", "semantic", "semantic_text", "minhash", "simhash", "winnow", "penalty", "total")
+def p_edge_tier(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).edges.select("entity_a", "entity_b", "tier", *(F.round(m, 6).alias(m) for m in engine.METRICS))
 
 
 def p_pair_score(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.features(_pairs(_fingerprints(spark, d)), CFG).select("entity_a", "entity_b", *(F.round(m, 6).alias(m) for m in _METRICS))
-
-
-def _edges(fp: DataFrame) -> DataFrame:
-    return materialise(scoring.edges(_pairs(fp), CFG).select("entity_a", "entity_b", "tier", *_METRICS), "edges")
+    """All pairs that share an issue or a file: every feature and the total."""
+    fp = _fingerprints(spark, d)
+    rows = candidates.without_hot(candidates.keys(fp, {"hard": "linked_issues", "file": "changed_files"}), {"file": 300})
+    pairs = candidates.unordered(candidates.votes(rows))
+    a = fp.select(F.col("entity_id").alias("entity_a"), F.struct(*engine._PAIR).alias("a"))
+    b = fp.select(F.col("entity_id").alias("entity_b"), F.struct(*engine._PAIR).alias("b"))
+    scored = scoring.features(pairs.join(a, "entity_a").join(b, "entity_b"), CFG)
+    return scored.select("entity_a", "entity_b", *(F.round(m, 6).alias(m) for m in engine.METRICS))
 
 
-def p_edge_tier(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(_fingerprints(spark, d)).select("entity_a", "entity_b", "tier", F.round("total", 6).alias("total"))
+def g_cluster_type(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).types.select("cluster_id", "component", "n", "cluster_type")
 
 
-def g_cluster_type(spark: SparkSession, d: str) -> DataFrame:
-    fp = _fingerprints(spark, d)
-    edges = _edges(fp)
-    grouped = materialise(graph.clusters(fp.select(F.col("entity_id").alias("node")), edges, CFG), "clusters")
-    return graph.classify(grouped, edges)
+def c_canonical_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).decisions.withColumn("score", F.round("score", 6))
 
 
-def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    fp = _fingerprints(spark, d)
-    edges = _edges(fp)
-    grouped = materialise(graph.clusters(fp.select(F.col("entity_id").alias("node")), edges, CFG), "clusters")
-    members = grouped.select(F.col("component").alias("cluster_id"), F.col("node").alias("entity_id"))
-    types = graph.classify(grouped, edges).withColumnRenamed("component", "cluster_id")
-    weights = _filtered(spark, d).select(F.col("id").alias("entity_id"), "priority_weight")
-    scored = canonical.scores(members, fp, edges, weights, CFG)
-    return fp, members, types, materialise(canonical.rank(scored, edges, CFG), "decisions")
+def r_routing(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).routing.withColumn("labels", F.array_join("labels", ","))
 
 
-def c_canonical_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d)[3].withColumn("score", F.round("score", 6))
+def e2e_triage_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).profile()
 
 
-def r_routing(spark: SparkSession, d: str) -> DataFrame:
-    _, _, types, decisions = _decided(spark, d)
-    return canonical.route(_filtered(spark, d), decisions, types, CFG).withColumn("labels", F.array_join("labels", ","))
+def g_tail_prune(spark: SparkSession, d: str) -> DataFrame:
+    """Peel weak tails of the trade graph's components below a score of 0.5."""
+    edges = materialise(_trade_edges(spark, d), "trade")
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
+    return graph.prune_tails(graph.group(nodes, edges), edges, 0.5)
 
 
 def g_shadow_attach(spark: SparkSession, d: str) -> DataFrame:
@@ -254,7 +226,8 @@ SELECT node AS customer, min(root) AS component FROM r GROUP BY node"""
 
 QUERIES = {f.__name__: f for f in (
     f_lowpass_cascade, f_lowpass_reason_hist, f_docs_only, s_diff_material, j_hot_bucket_cap, j_inverted_index_votes, w_topk_candidates,
-    p_pair_score, p_edge_tier, g_merge_edges, g_components, g_cluster_type, g_shadow_attach, c_canonical_rank, r_routing,
+    p_pair_score, p_edge_tier, g_merge_edges, g_components, g_tail_prune, g_cluster_type, g_shadow_attach, c_canonical_rank, r_routing,
+    e2e_triage_profile,
 )}
 ORACLES = {
     "f_lowpass_cascade": F_CASCADE, "f_lowpass_reason_hist": F_HIST, "f_docs_only": F_DOCS, "s_diff_material": S_DIFF,
