@@ -71,8 +71,17 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
-        self.used = 0
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _shrink(self) -> None:
+        """Keep only the words that were used twice or more, most used first, up to half of the table."""
+        names, uses = list(self.slot), self.uses[: len(self.slot)]
+        kept = np.flatnonzero(uses > 1)
+        kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: self.most // 2]])
+        ids, at = self._spread(kept)
+        self._forget()
+        self._add([names[i] for i in kept.tolist()], np.diff(at), ids)
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,7 +89,7 @@ class Encoder:
     def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         at = len(self.slot)
         while at + len(words) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.slot.update(zip(words, range(at, at + len(words)), strict=True))
@@ -132,7 +141,7 @@ class Encoder:
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and the starts of the texts."""
         if len(self.slot) > self.most:
-            self._forget()
+            self._shrink()
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         odd = {i for i, t in enumerate(texts) if AMONG_BLANKS.search(t)}
@@ -149,6 +158,7 @@ class Encoder:
             self._learn(list(dict.fromkeys(missing)))
             place[gaps] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
         del words
+        self.uses[: len(self.slot)] += np.bincount(place, minlength=len(self.slot))
         ids, ends = self._spread(place)
         at = ends[offsets(counts)]
         if odd:
@@ -198,7 +208,7 @@ def _choose(codes: np.ndarray, wide: int, least: int, most: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def compress(ids: np.ndarray, end: int, base: int, rounds: int = 9, a_round: int = 1_500, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end: int, base: int, rounds: int = 5, a_round: int = 4_000, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, and the left and right sides of the rules; rule k is symbol base + k. Symbols stay below 65,536."""
     seq = ids.astype(np.int64)
     wide = 1 << 17
