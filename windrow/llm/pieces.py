@@ -22,14 +22,14 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain, product
+from itertools import chain, pairwise, product, repeat
 from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from windrow.llm.common import id_text, numbered, offsets, slices
+from windrow.llm.common import id_text, offsets, slices
 
 MARK = "▁"
 #: Stands for a mark that the text itself holds while words are cut; no valid text holds it.
@@ -45,7 +45,7 @@ def default_model() -> str:
 class Lattice:
     """Pieces and scores of a model, and N-best search over words."""
 
-    def __init__(self, path: str, n_best: int = 4, most: int = 150_000) -> None:
+    def __init__(self, path: str, n_best: int = 4, most: int = 200_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,17 +62,61 @@ class Lattice:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = (i, -log(1 + min(-model.get_score(i), size)))
                 self.text_of[i] = piece.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.ids), default=1)
+        #: Pieces and all their beginnings: a run of characters that is not in it begins no piece.
+        self.begun: dict[str, tuple[int, float] | None] = {}
+        for piece, hit in self.ids.items():
+            for n in range(1, len(piece)):
+                self.begun.setdefault(piece[:n], None)
+            self.begun[piece] = hit
+        #: Neighbours that some piece holds; between any others every segmentation has a boundary.
+        self.joined = {x + y for piece in self.ids for x, y in pairwise(piece)}
         self.byte_score = -log(1 + size) - 10
-        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table of words: where their ids lie, best scores, losses of their second choices, uses."""
+        self.slot: dict[str, int] = {}
+        self.parts: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.score, self.loss = np.zeros(1 << 16), np.zeros(1 << 16)
+        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+
+    def _add(self, words: list[str], ids: list[tuple[int, ...]], score: list[float], loss: list[float]) -> None:
+        at, n = len(self.slot), len(words)
+        while at + n > len(self.starts):
+            self.starts, self.sizes, self.uses, self.score, self.loss = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses, self.score, self.loss)
+            )
+        sizes = np.fromiter(map(len, ids), np.int64, n)
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.slot.update(zip(words, range(at, at + n), strict=True))
+        self.sizes[at : at + n], self.score[at : at + n], self.loss[at : at + n] = sizes, score, loss
+        self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.used += total
+
+    def _shrink(self) -> None:
+        """Keep only the words that were used twice or more, most used first, up to half of the table."""
+        names, uses = list(self.slot), self.uses[: len(self.slot)]
+        kept = np.flatnonzero(uses > 1)
+        kept = kept[np.argsort(-uses[kept], kind="stable")[: self.most // 2]].tolist()
+        ids = [tuple(self.flat[self.starts[k] : self.starts[k] + self.sizes[k]].tolist()) for k in kept]
+        score, loss = self.score[kept].tolist(), self.loss[kept].tolist()
+        self._forget()
+        self._add([names[k] for k in kept], ids, score, loss)
 
     def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         """For each end, the edges that reach it: start, ids, score."""
-        get, n = self.ids.get, len(word)
+        begun, n = self.begun, len(word)
         found: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
         for a in range(n):
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                hit = get(word[a:b])
+            for b in range(a + 1, n + 1):
+                run = word[a:b]
+                if run not in begun:
+                    break
+                hit = begun[run]
                 if hit is not None:
                     found[b].append((a, (hit[0],), hit[1]))
             if word[a] not in self.ids:
@@ -115,53 +159,110 @@ class Lattice:
                 marks += MARK
         return [*out, marks + parts[-1]]
 
-    def first_choices(self, words: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
-        """For each word, ids and score of its best segmentation, and the loss of its second."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        out = []
-        for w in words:
-            hit = self.known.get(w)
+    def first(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """Ids and score of the best segmentation, and what the second loses: the least loss of a path that takes an edge
+        off the best path, from forward and backward Viterbi scores."""
+        begun, n, low = self.begun, len(word), float("-inf")
+        forth, back = [0.0] + [low] * n, [0] * (n + 1)
+        how: list[tuple[int, ...]] = [()] * (n + 1)
+        edges: list[tuple[int, int, float]] = []
+        for a in range(n):
+            here = forth[a]
+            for b in range(a + 1, n + 1):
+                run = word[a:b]
+                if run not in begun:
+                    break
+                hit = begun[run]
+                if hit is not None:
+                    edges.append((a, b, hit[1]))
+                    if here + hit[1] > forth[b]:
+                        forth[b], back[b], how[b] = here + hit[1], a, (hit[0],)
+            if word[a] not in self.ids:
+                raw = (MARK if word[a] == LITERAL else word[a]).encode("utf-8", "surrogatepass")
+                s = self.byte_score * len(raw)
+                edges.append((a, a + 1, s))
+                if here + s > forth[a + 1]:
+                    forth[a + 1], back[a + 1], how[a + 1] = here + s, a, tuple(self.bytes_of[x] for x in raw)
+        ids: tuple[int, ...] = ()
+        path, b = set(), n
+        while b:
+            ids = how[b] + ids
+            path.add((back[b], b))
+            b = back[b]
+        rest, best, second = [low] * n + [0.0], forth[n], low
+        for a, b, s in reversed(edges):
+            tail = s + rest[b]
+            if tail > rest[a]:
+                rest[a] = tail
+            if forth[a] + tail > second and (a, b) not in path:
+                second = forth[a] + tail
+        loss = best - second
+        if loss < 1e-9:  # a tie: take the first by ids, as the search does
+            best, ids = self.search(word, 1)[0]
+        return ids, best, loss
+
+    def chain(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """``first`` of a word, cut where no piece can cross; its parts are kept, as words share them."""
+        joined = self.joined
+        cuts = [i for i, (x, y) in enumerate(pairwise(word), 1) if x + y not in joined]
+        if not cuts:
+            return self.first(word)
+        ids: tuple[int, ...] = ()
+        score, loss = 0.0, float("inf")
+        for a, b in pairwise([0, *cuts, len(word)]):
+            part = word[a:b]
+            hit = self.parts.get(part)
             if hit is None:
-                two = self.search(MARK + w, 2)
-                hit = self.known[w] = (two[0][1], two[0][0], two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
-            out.append(hit)
-        return out
+                if len(self.parts) > self.most:
+                    self.parts.clear()
+                hit = self.parts[part] = self.first(part)
+            ids += hit[0]
+            score += hit[1]
+            loss = min(loss, hit[2])
+        return ids, score, loss
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the table holds each word; new words are segmented first."""
+        if len(self.slot) > self.most:
+            self._shrink()
+        place = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        gaps = np.flatnonzero(place < 0)
+        if len(gaps):
+            missing = [words[i] for i in gaps.tolist()]
+            new = list(dict.fromkeys(missing))
+            found = [self.chain(MARK + w) for w in new]
+            self._add(new, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found])
+            place[gaps] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
+        self.uses[: len(self.slot)] += np.bincount(place, minlength=len(self.slot))
+        return place
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its N best segmentations: score, ids."""
         cut = [self.words(t) for t in texts]
-        place, distinct = numbered([w for ws in cut for w in ws])
-        choices = self.first_choices(distinct)
-        n = np.fromiter((len(c[0]) for c in choices), np.int64, len(choices))
-        flat = np.fromiter(chain.from_iterable(c[0] for c in choices), np.int64, int(n.sum()))
-        score = np.fromiter((c[1] for c in choices), float, len(choices))
-        loss = np.fromiter((c[2] for c in choices), float, len(choices))
-        starts, at = offsets(n)[:-1], offsets(map(len, cut))
-        long = n[place]
-        spread = np.arange(int(long.sum())) + np.repeat(starts[place] - offsets(long)[:-1], long)
-        ids, ends = flat[spread], offsets(long)
+        at = offsets(map(len, cut))
+        place = self.places([w for ws in cut for w in ws])
+        long = self.sizes[place]
+        ends = offsets(long)
+        ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.starts[place] - ends[:-1], long)].astype(np.int64)
+        score, loss = self.score[place], self.loss[place]
         for i in range(len(texts)):
             a, b = at[i], at[i + 1]
-            own = ids[ends[a] : ends[b]]
-            best = float(score[place[a:b]].sum())
-            losses = loss[place[a:b]]
+            own, best, losses = ids[ends[a] : ends[b]], float(score[a:b].sum()), loss[a:b]
             few = min(self.n_best - 1, b - a)
             near = np.argpartition(losses, few - 1)[:few] if few else np.zeros(0, np.int64)
             near = np.sort(near[np.isfinite(losses[near])])
             options = [self.search(MARK + cut[i][j], self.n_best) for j in near]
-            combined = sorted(
-                (sum(options[k][0][0] - options[k][c][0] for k, c in enumerate(pick)), pick) for pick in product(*(range(len(o)) for o in options))
-            )
+            lost = [[o[0][0] - x[0] for x in o] for o in options]
+            combined = sorted((sum(ls[c] for ls, c in zip(lost, pick, strict=True)), pick) for pick in product(*(range(len(o)) for o in options)))
             out = []
-            for lost, pick in combined[: self.n_best]:
+            for less, pick in combined[: self.n_best]:
                 parts, done = [], ends[a]
                 for k, c in enumerate(pick):
                     if c:
                         j = a + near[k]
                         parts += [ids[done : ends[j]], np.array(options[k][c][1], np.int64)]
                         done = ends[j + 1]
-                out.append((best - lost, np.concatenate([*parts, ids[done : ends[b]]]) if parts else own))
+                out.append((best - less, np.concatenate([*parts, ids[done : ends[b]]]) if parts else own))
             yield out
 
     def decode(self, ids: np.ndarray) -> str:
