@@ -168,17 +168,31 @@ def _tile_pairs(percent: int):  # noqa: ANN202
     return run
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, keys (sorted array as bytes) of the wanted documents."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, most_bits: int = 1 << 28) -> DataFrame:
+    """rep, keys (sorted array as bytes) of the wanted documents, and of a few more.
+
+    Texts are not shuffled: a bitmap of hashed ids (8 bits an id, at most ``most_bits``, 32 MB) says which documents may
+    be wanted. Where it fills up, more sets are made than are wanted; the join that uses them drops those."""
+    bits = min(most_bits, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(p % 64 AS INT))")
+    marks = wanted.select(place("rep").alias("p")).select(F.shiftright("p", 6).alias("w"), one.alias("b"))
+    rows = marks.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
+    marked = np.zeros(bits // 64, np.int64)
+    marked[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(marked.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches, 3_000_000):
-            keys, at = shingle_sets(texts, width)
-            raw = [keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["rep", "keys"])
-
-    picked = id_text(docs).join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return picked.mapInArrow(run, "rep long, keys binary").dropDuplicates(["rep"])
+        for batch in batches:
+            p = batch.column(2).to_numpy(zero_copy_only=False)
+            hit = (sent.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
+            for ids, texts in slices([batch.filter(pa.array(hit.astype(bool)))], 3_000_000):
+                keys, at = shingle_sets(texts, width)
+                raw = [keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["rep", "keys"])
+
+    named = id_text(docs).where("doc_id IS NOT NULL")
+    return named.select("doc_id", "text", place("doc_id")).mapInArrow(run, "rep long, keys binary")
 
 
 def bitmap(keys: np.ndarray) -> bytes:
