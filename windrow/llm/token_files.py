@@ -56,7 +56,7 @@ class Encoder:
     Words stand for themselves with the space before them; those with FIRST in front for what follows it. A word that is
     more than one run takes the ids of its runs, as the tokenizer cuts there before it merges."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -104,6 +104,9 @@ class Encoder:
         mixed = [w for w in words if not w.isalpha()]
         parts = []
         for w in mixed:
+            if len(w) > 1 and w[:-1].isalpha():  # letters and one more character: two runs
+                parts.append([w[:-1], FIRST + w[-1]])
+                continue
             found = self.runs(w[1:] if w[0:1] == FIRST else " " + w)
             parts.append([p[1:] if len(p) > 1 and p[0] == " " else FIRST + p for p in found])
         known = set(letters)
@@ -208,7 +211,7 @@ def _choose(codes: np.ndarray, wide: int, least: int, most: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def compress(ids: np.ndarray, end: int, base: int, rounds: int = 5, a_round: int = 4_000, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end: int, base: int, rounds: int = 4, a_round: int = 5_000, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, and the left and right sides of the rules; rule k is symbol base + k. Symbols stay below 65,536."""
     seq = ids.astype(np.int64)
     wide = 1 << 17
