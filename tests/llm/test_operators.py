@@ -328,6 +328,30 @@ def test_grammar_round_trip(seed):
     assert block.length.tolist() == [len(token_files.expand(np.array([400 + k]), block.left, block.right, 400)) for k in range(len(block.left))]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_grammar_leaves_no_pair_standing_twice(seed):
+    rng = np.random.default_rng(seed)
+    passage = rng.permutation(np.arange(3, 303))
+    parts = [np.concatenate([p, [2]]) for p in (passage, np.full(77, 5), rng.integers(3, 9, 200), passage, np.full(64, 7), [4, 4, 4, 5])]
+    ids = np.concatenate(parts)
+    symbols, left, right = token_files.compress(ids, 2, 400)
+    assert (token_files.expand(symbols, left, right, 400) == ids).all()
+    found, last = Counter(), {}
+    for i, p in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if 2 not in p and last.get(p, -2) != i - 1:
+            found[p] += 1
+            last[p] = i
+    assert max(found.values()) == 1
+    assert token_files.expansion_lengths(left, right, 400).max() >= 300
+    assert any(a == b for a, b in zip(left.tolist(), right.tolist(), strict=True))
+
+
+def test_grammar_stops_when_symbols_are_used_up():
+    ids = np.tile(np.arange(3, 503), 3)
+    symbols, left, right = token_files.compress(ids, 2, 65_500)
+    assert len(left) == 35 and symbols.max() < 65_535 and (token_files.expand(symbols, left, right, 65_500) == ids).all()
+
+
 def test_token_files(spark, docs, nothing):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(token_files.default_tokenizer())

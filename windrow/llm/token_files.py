@@ -2,7 +2,8 @@
 
 Rows are range-partitioned and sorted by doc_id; each task encodes its texts in blocks of bounded size, a block being
 the shard that one grammar covers. Each round replaces the most frequent pairs of neighbouring ids, all at once and
-without overlap, by nonterminals; no rule holds the end id, so every document remains a run of its own. A block stores
+without overlap, by nonterminals, until no pair stands twice or the symbols are used up; no rule holds the end id, so
+every document remains a run of its own. A block stores
 
     magic "RPG1", counts (rules, symbols, documents: uint32, ids: uint64),
     left and right sides of the rules (uint16), expansion lengths of the rules (uint32),
@@ -188,21 +189,36 @@ def encoder(path: str) -> Encoder:
 # -- grammar --------------------------------------------------------------------------------------------------
 
 
-def _choose(codes: np.ndarray, wide: int, least: int, most: int) -> np.ndarray:
-    """Frequent pairs of which none begins with a symbol that another ends with, most frequent first."""
+#: Codes of pairs are left side * WIDE + right side.
+WIDE = 1 << 17
+
+
+def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each stands."""
     ordered = np.sort(codes)
-    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    times = np.diff(np.concatenate([edge, [len(ordered)]]))
+    edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
+    return ordered[edge], np.diff(np.concatenate([edge, [len(ordered)]]))
+
+
+def _twins(seq: np.ndarray, end: int) -> np.ndarray:
+    """Places of pairs of one id that do not overlap: every second one of a run, from its start."""
+    same = np.flatnonzero((seq[1:] == seq[:-1]) & (seq[1:] != end))
+    if not len(same):
+        return same
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(same) > 1]), same, 0))
+    return same[(same - begin) % 2 == 0]
+
+
+def _choose(codes: np.ndarray, times: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Frequent pairs of which none overlaps another (begins with a symbol that it ends with), most frequent first."""
     often = np.flatnonzero(times >= least)
-    if not len(often):
-        return np.zeros(0, np.int64)
     top = often[np.argsort(-times[often], kind="stable")[: 3 * most]]
     lefts: set[int] = set()
     rights: set[int] = set()
     chosen = []
-    for code in ordered[edge[top]].tolist():
-        a, b = divmod(code, wide)
-        if a != b and a not in rights and b not in lefts:
+    for code in codes[top].tolist():
+        a, b = divmod(code, WIDE)
+        if a not in rights and b not in lefts and (a != b or a not in lefts and b not in rights):
             lefts.add(a)
             rights.add(b)
             chosen.append(code)
@@ -211,37 +227,72 @@ def _choose(codes: np.ndarray, wide: int, least: int, most: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def compress(ids: np.ndarray, end: int, base: int, rounds: int = 4, a_round: int = 5_000, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, and the left and right sides of the rules; rule k is symbol base + k. Symbols stay below 65,536."""
-    seq = ids.astype(np.int64)
-    wide = 1 << 17
+def compress(ids: np.ndarray, end: int, base: int, least: int = 2, share: float = 0.4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, and the left and right sides of the rules; rule k is symbol base + k. Symbols stay below 65,535.
+
+    Rounds go on until no pair stands ``least`` times or the symbols are used up; each takes pairs that stand at least
+    ``share`` times as often as the most frequent one. Pairs are counted in full once, then only around what a round
+    replaced: a pair of known symbols never gains. Pairs of one id are counted anew, as they overlap in runs."""
+    seq = ids.astype(np.int32)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    role = np.zeros(65_536, np.uint8)
+
+    def pair(at: np.ndarray) -> np.ndarray:
+        return seq[at].astype(np.int64) * WIDE + seq[at + 1]
+
+    def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = codes // WIDE, codes % WIDE
+        found, n = _tally(codes[(a != end) & (b != end) & (a != b)])
+        return found[n >= least], n[n >= least]
+
+    known, times = counted(pair(np.arange(max(0, len(seq) - 1))))
     made = 0
-    for _ in range(rounds):
-        room = min(a_round, 65_535 - base - made)
-        if len(seq) < 2 or room <= 0:
-            break
-        free = (seq[:-1] != end) & (seq[1:] != end)
-        codes = (seq[:-1] * wide + seq[1:])[free]
-        chosen = _choose(codes, wide, least, room)
-        if not len(chosen):
+    while (room := 65_535 - base - made) > 0:
+        twins = _twins(seq, end)
+        same, often = _tally(pair(twins))
+        codes, n = np.concatenate([known, same]), np.concatenate([times, often])
+        best = int(n.max(initial=0))
+        if best < least:
             break
-        chosen = np.sort(chosen)
-        starts, ends = np.zeros(65_536, bool), np.zeros(65_536, bool)
-        starts[chosen // wide], ends[chosen % wide] = True, True
-        spot = np.flatnonzero(starts[seq[:-1]] & ends[seq[1:]] & free)
-        code = seq[spot] * wide + seq[spot + 1]
+        chosen = np.sort(_choose(codes, n, max(least, int(best * share)), room))
+        a, b = chosen // WIDE, chosen % WIDE
+        role[a] |= 1
+        role[b] |= 2
+        part = role.take(seq)
+        spot = np.flatnonzero(part[:-1] & (part[1:] >> 1) & 1)
+        role[a] = role[b] = 0
+        code = pair(spot)
         k = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
         hit = chosen[k] == code
         spot, k = spot[hit], k[hit]
+        hit = (a != b)[k] | np.isin(spot, twins)
+        spot, k = spot[hit], k[hit]
+        touched = np.zeros(len(seq) + 1, bool)  # the last two places begin no pair
+        touched[spot - 1] = touched[spot + 1] = True
+        touched[spot] = False
+        touched[len(seq) - 1 :] = False
+        gone, lost = _tally(pair(np.flatnonzero(touched)))
+        gone, lost = np.concatenate([gone, chosen]), np.concatenate([lost, np.bincount(k, minlength=len(chosen))])
+        if len(known):
+            at = np.minimum(np.searchsorted(known, gone), len(known) - 1)
+            hit = known[at] == gone
+            np.subtract.at(times, at[hit], lost[hit])
         seq[spot] = base + made + k
         keep = np.ones(len(seq), bool)
         keep[spot + 1] = False
         seq = seq[keep]
-        left.append(chosen // wide)
-        right.append(chosen % wide)
+        spot -= np.arange(len(spot))
+        touched = np.zeros(len(seq) + 1, bool)
+        touched[spot - 1] = touched[spot] = True
+        touched[len(seq) - 1 :] = False
+        fresh, n = counted(pair(np.flatnonzero(touched)))
+        known, times = known[times >= least], times[times >= least]
+        at = np.searchsorted(known, fresh)
+        known, times = np.insert(known, at, fresh), np.insert(times, at, n)
+        left.append(a)
+        right.append(b)
         made += len(chosen)
-    return seq, np.concatenate(left), np.concatenate(right)
+    return seq.astype(np.int64), np.concatenate(left), np.concatenate(right)
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
