@@ -450,3 +450,16 @@ def test_shards(spark, nothing):
     cut = sum(sum(c.values()) - max(c.values()) for c in where.values())
     assert cut < 0.35 * len(rows)
     assert sharding.assign(nothing).count() == 0
+
+
+@pytest.mark.parametrize("singles", [200, 0])
+def test_shards_cut_no_group_that_fits(spark, singles):
+    texts = ["hot"] * 400 + [f"group {i // 3}" for i in range(600)] + [f"single {i}" for i in range(singles)]
+    got = sharding.assign(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(5)).collect()
+    where, sizes = defaultdict(set), Counter()
+    for r in got:
+        where[texts[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += 1
+    assert len(got) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
+    cut = [t for t, s in where.items() if len(s) > 1 and t != "hot"]
+    assert len(where["hot"]) <= (6 if singles else 8) and len(cut) <= (0 if singles else 8)

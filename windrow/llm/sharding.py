@@ -1,8 +1,10 @@
 """Balanced label propagation of documents into shards.
 
 Documents of equal texts are linked. Every document starts in the shard its id hashes to; in each round the linked
-documents of a group vote by their present shards, the group prefers the shard most of them are in, and its members
-move there as far as that shard's quota of linked documents goes (whole groups are admitted by their hash). Groups
+documents of a group vote by these shards, and the group prefers, of the shards that still have room for all of it, the
+one most of them are in. Its members move there as far as the room left by settled groups goes (whole groups are
+admitted by a hash that differs from round to round); refused groups wish again, until no group moves. The few that
+then fit nowhere go where most room is. Groups
 larger than half a shard are first cut by their ids' hashes, each piece moving as a group of its own. Last, exact
 quotas: shards above theirs give their last rows, unlinked ones first, to the shards below, so that the law ``rows``
 holds: counts are at most one apart. The places in the result are ranks from one distributed sort.
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from windrow.llm.common import id_text
 from windrow.session import materialise
 
+#: Hash ranges by which groups are admitted to a shard.
+BUCKETS = 4_096
+
 
 def _switch(key: Column, values: list[int]) -> Column:
     """values[key] for a shard column."""
@@ -40,7 +45,46 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn("index", F.col("__s") + F.col("__i")).drop("__p", "__i", "__q", "__s")
 
 
-def assign(docs: DataFrame, shards: int = 8, rounds: int = 3) -> DataFrame:
+def settle(pieces: DataFrame, quota: list[int]) -> DataFrame:
+    """piece, to: a shard for each of ``pieces`` (piece, k, votes: rows in all and by present shard).
+
+    A wish goes to shards with a 64th of the largest room or more, so that no shard is asked for more than 64 times the
+    number of shards times what it has, and some of BUCKETS hash ranges always fit."""
+    room, still, settled, turn = list(quota), pieces, [], 0
+    while True:
+        fit = (
+            F.when(F.col("k") <= r, F.struct(F.col("votes")[s].alias("votes"), F.xxhash64("piece", F.lit(s)).alias("tie"), F.lit(s).alias("to")))
+            for s, r in enumerate(room)
+            if 64 * r >= max(room)
+        )
+        bucket = F.pmod(F.xxhash64("piece", F.lit(2 + turn)), F.lit(BUCKETS)).cast("int")
+        wish = still.select("piece", "k", "votes", F.array_max(F.array(*fit))["to"].alias("to"), bucket.alias("bucket"))
+        wish = materialise(wish, "wish")
+        asked = wish.where("to IS NOT NULL").groupBy("to", "bucket").agg(F.sum("k").alias("k"))
+        asked = sorted((r["to"], r["bucket"], r["k"]) for r in asked.collect())  # at most BUCKETS rows a shard
+        if not asked:
+            break
+        upto, full = [0] * len(room), set()
+        for to, at, k in asked:
+            if to not in full and k <= room[to]:
+                room[to], upto[to] = room[to] - k, at + 1
+            else:
+                full.add(to)
+        admitted = F.col("to").isNotNull() & (F.col("bucket") < _switch(F.col("to"), upto))
+        settled.append(wish.where(admitted).select("piece", "to"))
+        still, turn = wish.where(~admitted).select("piece", "k", "votes"), turn + 1
+    rest = []
+    for r in wish.select("piece", "k").orderBy(F.desc("k"), "piece").collect():  # fewer than shards: each exceeds all room left
+        to = room.index(max(room))
+        rest.append((r["piece"], to))
+        room[to] -= r["k"]
+    found = pieces.sparkSession.createDataFrame(rest, "piece long, to int")
+    for some in settled:
+        found = found.unionByName(some)
+    return found
+
+
+def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     text = F.coalesce("text", F.lit(""))
     base = id_text(docs).select(
@@ -64,19 +108,10 @@ def assign(docs: DataFrame, shards: int = 8, rounds: int = 3) -> DataFrame:
         "links",
     )
     linked = tagged.where("piece IS NOT NULL").select("doc_id", *keys, "piece", "shard")
-    for _ in range(rounds):
-        votes = linked.groupBy("piece", "shard").agg(F.count("*").alias("votes"))
-        wish = votes.groupBy("piece").agg(
-            F.max(F.struct("votes", F.xxhash64("piece", "shard").alias("tie"), "shard")).alias("best"), F.sum("votes").alias("k")
-        )
-        wish = materialise(wish.select("piece", F.col("best.shard").alias("to"), "k"), "wish")
-        wanted = {r["to"]: r["k"] for r in wish.groupBy("to").agg(F.sum("k").alias("k")).collect()}  # one row a shard
-        share = F.element_at(
-            F.array(*(F.lit(min(1.0, 0.95 * quota[s] / max(1, wanted.get(s, 0)))) for s in range(shards))), F.col("to") + 1
-        )
-        admitted = F.pmod(F.xxhash64("piece", F.lit(2)), F.lit(1_000_003)) < share * 1_000_003
-        moved = linked.join(wish.where(admitted).select("piece", "to"), "piece", "left")
-        linked = materialise(moved.select("doc_id", *keys, "piece", F.coalesce("to", "shard").alias("shard")), "labels")
+    votes = F.array(*(F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)))
+    pieces = materialise(linked.groupBy("piece").agg(F.count("*").alias("k"), votes.alias("votes")), "pieces")
+    moved = linked.drop("shard").join(settle(pieces, quota), "piece")
+    linked = materialise(moved.select("doc_id", *keys, "piece", F.col("to").alias("shard")), "labels")
     alone = tagged.where("piece IS NULL").select("doc_id", *keys, "piece", "shard")
     placed = linked.unionByName(alone).withColumn("single", F.col("piece").isNull().cast("int"))
     found = ranked(placed, "shard", "single", "piece", "doc_id", "text_crc32")
