@@ -26,6 +26,11 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     shared = usable.join(other, "h").where("doc_id < other").groupBy("doc_id", "other").agg(F.count("*").alias("both"))
     a, b = sizes.withColumnRenamed("n", "na"), sizes.select(F.col("doc_id").alias("other"), F.col("n").alias("nb"))
     linked = shared.join(a, "doc_id").join(b, "other").where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= THRESHOLD)
+    return _canonical(docs, linked)
+
+
+def _canonical(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Components of the links and the longest document of each."""
     grouped = components(linked, "doc_id", "other")
     placed = docs.select("doc_id", "n_chars").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
@@ -33,10 +38,38 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     return placed.select("doc_id", "component", "n_chars", (F.row_number().over(order) == 1).alias("is_canonical"))
 
 
+def near_duplicates_whole(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The columns of near_duplicates over all shingles, none capped. Equal sets are one class; classes that share
+    enough meet in a shingle of both their prefixes (rarest first), and pairs are checked by their whole sets."""
+    cut = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
+    hashed = cut.select("doc_id", F.explode(T.shingles(F.col("w"), k)).alias("s")).select("doc_id", T.hash60(F.col("s")).alias("h"))
+    sets = hashed.groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+    sets = materialise(sets.withColumn("set", F.sha2(F.array_join(F.transform("hs", lambda h: h.cast("string")), ","), 256)), "sets")
+    classes = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("a"), F.first("hs").alias("hs")), "classes")
+    same = sets.join(classes.select("set", "a"), "set").select("doc_id", F.col("a").alias("other"))
+    keys = classes.select("a", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    held = keys.join(keys.groupBy("h").agg(F.count("*").alias("holders")), "h")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("holders", "h"))
+    need = F.floor((F.col("n") * percent + 99) / 100)
+    prefix = held.withColumn("place", place).where((F.col("place") <= F.col("n") - need + 1) & (F.col("holders") > 1))
+    prefix = materialise(prefix.select("a", "n", "h"), "prefix")
+    met = prefix.join(prefix.select(F.col("a").alias("b"), F.col("n").alias("m"), "h"), "h").where("a < b")
+    met = met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b").distinct()
+    met = met.join(classes.select("a", "hs"), "a").join(classes.select(F.col("a").alias("b"), F.col("hs").alias("gs")), "b")
+    both = F.size(F.array_intersect("hs", "gs"))
+    linked = met.where(both * 100 >= (F.size("hs") + F.size("gs") - both) * percent)
+    return _canonical(docs, same.unionByName(linked.select(F.col("a").alias("doc_id"), F.col("b").alias("other"))))
+
+
 def e2e_near_dup_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"))
 
 
+def e2e_near_dup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job; e2e_near_dup_pipeline keeps to its SQL twin's sample, cap and threshold."""
+    return near_duplicates_whole(table(spark, d, "documents"))
+
+
 _TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+'), lambda x: lower(x))"
 _KEYS = f"""w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -53,5 +86,5 @@ NEAR_DUP = f"""WITH RECURSIVE {_KEYS},
 f AS (SELECT d.doc_id, d.n_chars, coalesce(c.component, d.doc_id) AS component FROM documents d LEFT JOIN c ON c.node = d.doc_id)
 SELECT doc_id, component, n_chars, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) = 1 AS is_canonical FROM f"""
 
-QUERIES = {"e2e_near_dup_pipeline": e2e_near_dup_pipeline}
+QUERIES = {"e2e_near_dup_pipeline": e2e_near_dup_pipeline, "e2e_near_dup_whole": e2e_near_dup_whole}
 ORACLES = {"e2e_near_dup_pipeline": NEAR_DUP}
