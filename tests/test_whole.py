@@ -3,7 +3,7 @@
 import random
 import re
 
-from windrow.plans import near_dup
+from windrow.plans import near_dup, triage
 
 
 def roots(links):
@@ -38,3 +38,15 @@ def test_near_duplicates_of_hot_and_short_texts(spark):
     got = near_dup.near_duplicates_whole(docs).collect()
     assert {r["doc_id"]: r["component"] for r in got} == roots(links) and len(got) == len(texts)
     assert sum(r["is_canonical"] for r in got) == len({r["component"] for r in got})
+
+
+def test_components_of_all_parts(spark, tmp_path):
+    rng = random.Random(6)
+    lines = [(rng.randrange(60), rng.randrange(1, 50), rng.randrange(4)) for _ in range(90)]
+    orders = [(i, 100 + i % 45) for i in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    held = {(dict(orders)[o], p, s) for o, p, s in lines}
+    links = [(a, b) for a, p, s in held for b, q, t in held if (p, s) == (q, t)]
+    got = triage.g_components_whole(spark, str(tmp_path)).collect()
+    assert {r["customer"]: r["component"] for r in got} == roots(links) and len(got) == len({a for a, _, _ in held})

@@ -213,8 +213,17 @@ def g_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nine(spark: SparkSession, d: str) -> DataFrame:
-    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    held = lines.where("l_partkey % 9 = 0").join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "l_partkey", "l_suppkey").distinct()
+    return _links(table(spark, d, "lineitem").where("l_partkey % 9 = 0"), table(spark, d, "orders"))
+
+
+def g_components_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all parts; g_components keeps to its SQL twin's filter."""
+    links = _links(table(spark, d, "lineitem"), table(spark, d, "orders"))
+    return graph.components(links, "entity_a", "entity_b").select(F.col("node").alias("customer"), "component")
+
+
+def _links(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    held = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("o_custkey", "l_partkey", "l_suppkey").distinct()
     first = held.groupBy("l_partkey", "l_suppkey").agg(F.min("o_custkey").alias("entity_a"))
     return held.join(first, ["l_partkey", "l_suppkey"]).select("entity_a", F.col("o_custkey").alias("entity_b"))
 
@@ -226,7 +235,7 @@ SELECT node AS customer, min(root) AS component FROM r GROUP BY node"""
 
 QUERIES = {f.__name__: f for f in (
     f_lowpass_cascade, f_lowpass_reason_hist, f_docs_only, s_diff_material, j_hot_bucket_cap, j_inverted_index_votes, w_topk_candidates,
-    p_pair_score, p_edge_tier, g_merge_edges, g_components, g_tail_prune, g_cluster_type, g_shadow_attach, c_canonical_rank, r_routing,
+    p_pair_score, p_edge_tier, g_merge_edges, g_components, g_components_whole, g_tail_prune, g_cluster_type, g_shadow_attach, c_canonical_rank, r_routing,
     e2e_triage_profile,
 )}
 ORACLES = {
