@@ -322,8 +322,8 @@ def test_grammar_round_trip(seed):
     ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     raw = token_files.pack(ids, at, 2, 400)
     block = token_files.Block(raw, 400)
-    assert (block.all() == ids).all() and len(block.left) > 0 and len(raw) < 4 * len(ids)
-    assert block.lengths().tolist() == [len(p) for p in parts]
+    assert (block.all()[0] == ids).all() and len(block.left) > 0 and len(raw) < 4 * len(ids)
+    assert block.all()[1].tolist() == at.tolist()
     assert all((block.document(i) == p).all() for i, p in enumerate(parts))
     assert block.length.tolist() == [len(token_files.expand(np.array([400 + k]), block.left, block.right, 400)) for k in range(len(block.left))]
 
@@ -341,15 +341,50 @@ def test_grammar_leaves_no_pair_standing_twice(seed):
         if 2 not in p and last.get(p, -2) != i - 1:
             found[p] += 1
             last[p] = i
-    assert max(found.values()) == 1
+    assert max(found.values(), default=1) == 1
     assert token_files.expansion_lengths(left, right, 400).max() >= 300
     assert any(a == b for a, b in zip(left.tolist(), right.tolist(), strict=True))
 
 
-def test_grammar_stops_when_symbols_are_used_up():
-    ids = np.tile(np.arange(3, 503), 3)
-    symbols, left, right = token_files.compress(ids, 2, 65_500)
-    assert len(left) == 35 and symbols.max() < 65_535 and (token_files.expand(symbols, left, right, 65_500) == ids).all()
+def test_grammar_of_runs_and_periods():
+    for ids in (np.full(4_000, 5), np.tile(np.arange(3, 11), 500), np.zeros(0, np.int64), np.array([2, 2, 2])):
+        symbols, left, right = token_files.compress(ids, 2, 70_000)
+        assert (token_files.expand(symbols, left, right, 70_000) == ids).all() and len(symbols) < 30
+    ids = np.tile(np.arange(3, 60_003), 3)  # more rules than 16 bits hold
+    symbols, left, right = token_files.compress(ids, 2, 70_000)
+    assert len(left) > 59_000 and (token_files.expand(symbols, left, right, 70_000) == ids).all()
+
+
+def test_numbers_in_bits():
+    rng = np.random.default_rng(1)
+    for bits in (1, 7, 17, 20, 31):
+        x = rng.integers(0, 1 << bits, 300_001)
+        raw = b"ab" + token_files._packed(x, bits)
+        assert (token_files._unpacked(raw, 2, bits, 0, len(x)) == x).all()
+        assert (token_files._unpacked(raw, 2, bits, 12_345, 200_000) == x[12_345:212_345]).all()
+        y, spot = token_files._single(b"abc" + token_files._varied(x) + b"rest", 3, len(x))
+        assert (y == x).all() and spot == 3 + len(token_files._varied(x))
+
+
+def test_pieces_of_one_hash_are_encoded_right(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = token_files.Encoder(token_files.default_tokenizer())
+    own._hash = lambda points, begin, long: long.astype(np.uint64) % np.uint64(3)
+    texts = ["one two three", "abc def", "x y z 1 2 3", ""]
+    ids, at = own.encode(texts, 2)
+    tok = tokenizers.Tokenizer.from_file(token_files.default_tokenizer())
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_rows_of_one_id_have_one_order(spark):
+    pytest.importorskip("tokenizers")
+    rows = [(7, f"text {i % 5}") for i in range(60)] + [(3, "first"), (None, "lost")]
+    got = [
+        [tuple(r) for r in token_files.read(token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(n))).orderBy("start").collect()]
+        for n in (1, 4)
+    ]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [None, 3, *[7] * 60]
 
 
 def test_token_files(spark, docs, nothing):
@@ -376,7 +411,7 @@ def every_segmentation(model, text):
 
     def upto(b):
         if b == 0:
-            return [(0.0, ())]
+            return [(0, ())]
         return [(s + x, ids + p) for a, p, x in edges[b] for s, ids in upto(a)]
 
     return sorted(upto(len(word)), reverse=True)
@@ -387,11 +422,40 @@ def test_n_best_is_exact():
     model = pieces.Lattice(pieces.default_model(), 5)
     for text in ("hello", "a b", "the  cat", "x▁y", "é中 a", " lead", "ab ab", "trail ", " ", "   ", "\n\t"):
         want, got = every_segmentation(model, text), next(iter(model.encode([text])))
-        assert np.allclose([s for s, _ in got], [s for s, _ in want[:5]])
+        assert np.allclose([s for s, _ in got], [s / pieces.UNIT for s, _ in want[:5]])
         assert len({tuple(i) for _, i in got}) == len(got) and all(tuple(i) in {w[1] for w in want} for _, i in got)
         assert all(model.decode(i) == text for _, i in got)
 
 
+def test_words_together_and_alone():
+    """The segmentation of many words at once, of one word alone and of the search have the same scores and losses."""
+    pytest.importorskip("sentencepiece")
+    model = pieces.Lattice(pieces.default_model(), 5)
+    rng = random.Random(4)
+    letters = "abcdefgh tion▁-.,1é中\U0001f600" + pieces.LITERAL
+    words = ["▁" + "".join(rng.choice(letters.replace(" ", "")) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["▁the", "▁" + "x" * 60]
+    counts, ids, score, loss = model.best_of(words)
+    ends = np.cumsum(counts)
+    for word, b, n, s, less in zip(words, ends, counts, score, loss):
+        alone, found = model.chain(word), model.search(word, 2)
+        assert len(alone[0]) and alone[1] == s == found[0][0]
+        if len(found) > 1:
+            assert found[0][0] - found[1][0] == less == alone[2]
+        spelled = word.replace("▁", " ").replace(pieces.LITERAL, "▁")
+        assert b"".join(model.text_of[i] for i in ids[b - n : b]).decode() == spelled
+
+
+def test_long_words_take_linear_steps():
+    pytest.importorskip("sentencepiece")
+    model = pieces.Lattice(pieces.default_model(), 4)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(string.ascii_letters) for _ in range(100_000)), "x" * 100_000, "ab" * 50_000, "中文" * 30_000]
+    for text, found in zip(texts, model.encode(texts)):
+        scores = [s for s, _ in found]
+        assert len(found) == (1 if text[0] == "中" else 4) == len({i.tobytes() for _, i in found}) and scores == sorted(scores, reverse=True)
+        assert all(model.decode(i) == text for _, i in found)
+
+
 def test_pieces_round_trip(docs, nothing):
     pytest.importorskip("sentencepiece")
     got = pieces.segment(docs).collect()
