@@ -52,10 +52,13 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def offsets(counts: Iterable[int]) -> np.ndarray:
+def offsets(counts: Iterable[int] | np.ndarray) -> np.ndarray:
     """Starts of consecutive runs of the given lengths, and the end."""
-    counts = np.fromiter(counts, np.int64)
-    return np.concatenate([[0], np.cumsum(counts)])
+    if not isinstance(counts, np.ndarray):
+        counts = np.fromiter(counts, np.int64)
+    out = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts, out=out[1:])
+    return out
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -83,6 +86,12 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def one_each(rows: DataFrame, *others: str) -> DataFrame:
+    """One row an id of doc_id, text and ``others``: the one whose text has the smallest hash, however often an id stands."""
+    ranked = rows.select("doc_id", "text", *others, F.xxhash64("text").alias("h"))
+    return ranked.groupBy("doc_id", *others).agg(F.min(F.struct("h", "text")).alias("x")).select("doc_id", F.col("x.text").alias("text"), *others)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m: the fixed folds."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
