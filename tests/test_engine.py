@@ -63,6 +63,10 @@ def test_sink_and_stored_runs(report, spark, tmp_path):
         runs.persist(str(tmp_path), run_id, routing=report.routing)
     assert [r["run_id"] for r in runs.listed(spark, str(tmp_path), "routing").collect()] == [2, 1]
     assert runs.latest(spark, str(tmp_path), "routing").count() == 6
+    runs.persist(str(tmp_path), 2, routing=report.routing)  # a repeat takes the place of the first try
+    report.routing.write.parquet(f"{tmp_path}/routing/run_id=3")  # a run that was not completed does not answer
+    got = runs.latest(spark, str(tmp_path), "routing")
+    assert got.count() == 6 and got.first()["run_id"] == 2
 
 
 def pages(url, page):

@@ -35,19 +35,38 @@ def test_stream_upserts_and_repeats_nothing(spark, tmp_path):
         spark.createDataFrame(rows, ROW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark.readStream.schema(ROW).parquet(str(tmp_path / "in")), target, str(tmp_path / "ck"))
     assert {(r["entity_id"], r["payload"]) for r in target.read().collect()} == {("pr:1", "a"), ("pr:2", "c")}
-    before = target._versions()
+    before = target._complete()
     ingest(spark.readStream.schema(ROW).parquet(str(tmp_path / "in")), target, str(tmp_path / "ck"))
-    assert target._versions() == before
+    assert target._complete() == before
+    # A new stream over the same table goes on after the last version, and touches only its own buckets.
+    spark.createDataFrame([("r", "pr:3", T2, "open", "d", 1)], ROW).write.parquet(str(tmp_path / "more"))
+    ingest(spark.readStream.schema(ROW).parquet(str(tmp_path / "more")), target, str(tmp_path / "ck2"))
+    assert {r["entity_id"] for r in target.read().collect()} == {"pr:1", "pr:2", "pr:3"} and len(target._complete()) == len(before) + 1
+    assert len(target._folders(f"{target.path}/{target._complete()[-1]}")) == 1
+
+
+def test_rows_without_a_time_arrive(spark):
+    old = spark.createDataFrame([("r", "pr:1", T1, "open", "a", 2, T1)], ROW + ", watermark timestamp")
+    new = spark.createDataFrame([("r", "pr:1", None, "closed", "b", 0), ("r", "pr:9", None, "open", "c", 1)], ROW)
+    got = {r["entity_id"]: (r["payload"], r["state"], r["n_files"]) for r in store.upsert_preserving(old, new).collect()}
+    assert got == {"pr:1": ("b", "closed", 0), "pr:9": ("c", "open", 1)}
+
+
+def test_nothing_closes_after_a_partial_pass(spark):
+    rows = spark.createDataFrame([("r", "pr:1", "open"), ("r", "pr:2", "open")], "repo string, entity_id string, state string")
+    seen = rows.where("entity_id = 'pr:1'")
+    assert {r["entity_id"] for r in store.close_unseen(rows, seen).where("closed_now").collect()} == {"pr:2"}
+    assert store.close_unseen(rows, seen, whole=False).where("closed_now").count() == 0
 
 
 def test_payloads(spark):
     pull = {"number": 4, "title": "T", "body": "closes #3 and #8", "state": "open", "user": {"login": "b", "type": "Bot"}, "labels": [{"name": "x"}]}
     got = entities.from_pulls(spark.createDataFrame([("r", json.dumps(pull))], "repo string, payload string")).first()
     assert (got["id"], got["linked_issues"], got["soft_linked_issues"], got["is_bot"], got["labels"]) == ("pr:4", ["3"], ["8"], True, ["x"])
-    issue = {"number": 5, "title": "I", "body": None, "reactions": {"url": "u", "+1": 2, "heart": 1}, "comments": 4}
+    issue = {"number": 5, "title": "I", "body": None, "reactions": {"url": "u", "+1": 2, "heart": 1, "total_count": 3}, "comments": 4}
     mirror = issue | {"pull_request": {"url": "u"}}
     rows = entities.from_issues(spark.createDataFrame([("r", json.dumps(issue)), ("r", json.dumps(mirror))], "repo string, payload string")).collect()
-    assert [(r["id"], r["reaction_total"], r["comment_count"], r["body"]) for r in rows] == [("issue:5", 3, 4, "")]
+    assert [(r["id"], r["reaction_total"], r["comment_count"], r["body"]) for r in rows] == [("issue:5", 6, 4, "")]
 
 
 def test_patch_hunks(spark):

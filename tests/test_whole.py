@@ -35,7 +35,7 @@ def test_near_duplicates_of_hot_and_short_texts(spark):
     links = [(i, i) for i in range(len(sets))]
     links += [(i, j) for i, a in enumerate(sets) for j in range(i) if a and (b := sets[j]) and 5 * len(a & b) >= 4 * len(a | b)]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
-    got = near_dup.near_duplicates_whole(docs).collect()
+    got = near_dup.near_duplicates(docs).collect()
     assert {r["doc_id"]: r["component"] for r in got} == roots(links) and len(got) == len(texts)
     assert sum(r["is_canonical"] for r in got) == len({r["component"] for r in got})
 
@@ -48,5 +48,5 @@ def test_components_of_all_parts(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     held = {(dict(orders)[o], p, s) for o, p, s in lines}
     links = [(a, b) for a, p, s in held for b, q, t in held if (p, s) == (q, t)]
-    got = triage.g_components_whole(spark, str(tmp_path)).collect()
+    got = triage.g_components(spark, str(tmp_path)).collect()
     assert {r["customer"]: r["component"] for r in got} == roots(links) and len(got) == len({a for a, _, _ in held})

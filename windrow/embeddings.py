@@ -67,4 +67,6 @@ def provider(cfg: dict[str, Any]) -> Provider:
     e = cfg["embedding"]
     if e["provider"] == "local-hash":
         return LocalHash(e["dims"])
+    if e["provider"] == "http":
+        return HttpBatches(e["url"], e["model"], e.get("batch", 64), e.get("token"), e.get("timeout", 30.0))
     raise KeyError(f"no provider {e['provider']}")

@@ -21,6 +21,7 @@ METRICS = (
     "lineage", "structure", "hunk_overlap", "file_overlap", "title_salient", "hard_link", "soft_link", "semantic", "semantic_text", "minhash",
     "simhash", "winnow", "penalty", "total",
 )
+HUNKS = "array<struct<file_path: string, context: string, added_lines: array<string>, removed_lines: array<string>>>"
 KEYS = {"hard": "linked_issues", "soft": "soft_linked_issues", "file": "changed_files", "module": "module_buckets", "band": "bands", "chunk": "chunks", "winnow": "winnow_keys"}
 
 
@@ -34,6 +35,7 @@ class Report:
     decisions: DataFrame
     routing: DataFrame
     shadows: DataFrame
+    fresh: DataFrame | None = None
 
     def profile(self) -> DataFrame:
         """counter, n for every stage."""
@@ -47,11 +49,22 @@ class Report:
 def fingerprints(active: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     """Fingerprints with embeddings and sketches. Issues have no sketches unless the settings say so."""
     s, base = cfg["similarity"], materialise(fingerprint.assemble(active), "fingerprints")
-    named = base.select("entity_id", F.array_join("tokens", " ").alias("t"))
-    dense = embeddings.provider(cfg).embed(named, "entity_id", "t").select(F.col("key").alias("entity_id"), F.col("vector").alias("text_embedding"))
-    words, n = F.col("tokens"), s["minhash_permutations"]
+    hunks = F.col("diff_hunks") if "diff_hunks" in active.columns else F.array().cast(HUNKS)
+    title, body = (F.coalesce(c, F.lit("")) for c in ("title", "body"))
+    texts = active.select(
+        F.col("id").alias("entity_id"), F.concat_ws("\n", title, body).alias("t"),
+        fingerprint.diff_text(F.col("changed_files"), F.coalesce(hunks, F.array().cast(HUNKS))).alias("d"),
+    )
+    embedder = embeddings.provider(cfg)
+    text, diff = (
+        embedder.embed(texts, "entity_id", c).select(F.col("key").alias("entity_id"), F.col("vector").alias(name))
+        for c, name in (("t", "text_embedding"), ("d", "diff_embedding"))
+    )
+    base = base.withColumn("material", fingerprint.material_tokens())
+    words, n = F.col("material"), s["minhash_permutations"]
     parts = [
-        dense,
+        text,
+        diff,
         sketch.minhash(base, "entity_id", words, s["shingle_k"], n).withColumnRenamed("key", "entity_id"),
         sketch.simhash(base, "entity_id", words).withColumnRenamed("key", "entity_id"),
         sketch.winnow(base, "entity_id", words, s["winnow_k"], s["winnow_window"]).groupBy("key").agg(F.collect_set("h").alias("winnow")).withColumnRenamed("key", "entity_id"),
@@ -62,43 +75,73 @@ def fingerprints(active: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     sketched = F.lit(s["use_advanced"]) & (F.lit(s["advanced_for_issues"]) | (F.col("lane") == "pr"))
     none, words_none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     out = out.withColumns({
-        "diff_embedding": F.array().cast("array<double>"),
         "signature": F.when(sketched, F.col("signature")).otherwise(none),
         "simhash": F.when(sketched, F.col("simhash")),
         "winnow": F.when(sketched, F.coalesce("winnow", none)).otherwise(none),
     })
     chunk = F.transform(sketch_chunks(F.col("simhash"), s["simhash_chunk"]), lambda c: F.concat_ws(":", c["idx"].cast("string"), c["part"].cast("string")))
-    return out.withColumns({
+    return out.drop("material").withColumns({
         "bands": F.when(F.size("signature") > 0, sketch.bands(F.col("signature"), n, s["minhash_bands"])).otherwise(words_none),
         "chunks": F.when(F.col("simhash").isNotNull(), chunk).otherwise(words_none),
         "winnow_keys": F.transform("winnow", lambda h: h.cast("string")),
     })
 
 
+def model_id(cfg: dict[str, Any]) -> str:
+    """What vectors and sketches of a stored fingerprint were made by."""
+    e = cfg["embedding"]
+    return f"{e['provider']}:{e.get('model', '')}:{e.get('dims', '')}::2"
+
+
+def cached_fingerprints(active: DataFrame, cfg: dict[str, Any], cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of which those that the cache holds are taken from it, and the rows that were made anew, as cache rows.
+
+    A row of the cache (repo, updated_at, model_id and the fingerprint) holds for the same revision and model, with a
+    text embedding, title tokens and, where the settings weigh diffs, a diff embedding."""
+    own = active.select("repo", F.col("id").alias("entity_id"), "updated_at")
+    full = (F.size("text_embedding") > 0) & (F.size("title_tokens") > 0)
+    if cfg["similarity"]["semantic_diff_share"] > 0:
+        full &= F.size("diff_embedding") > 0
+    key = ["repo", "entity_id", "updated_at"]
+    hits = cache.where((F.col("model_id") == model_id(cfg)) & full).join(own, key, "left_semi").dropDuplicates(key)
+    missing = active.join(hits.select("repo", F.col("entity_id").alias("id")), ["repo", "id"], "left_anti")
+    fresh = materialise(fingerprints(missing, cfg), "fresh")
+    rows = fresh.join(own, "entity_id").withColumn("model_id", F.lit(model_id(cfg)))
+    return hits.select(*fresh.columns).unionByName(fresh), rows
+
+
 def sketch_chunks(value: Column, width: int) -> Column:
     from windrow.functions.text import chunks
 
-    return chunks(value, 64, width)
+    return chunks(value, sketch.SIMHASH_BITS, max(1, width * sketch.SIMHASH_BITS // 64))
 
 
-def run(entities: DataFrame, cfg: dict[str, Any], as_of: Column, hooks: Hooks | None = None) -> Report:
-    """Every stage that later ones read is written to the shared folder."""
+def run(entities: DataFrame, cfg: dict[str, Any], as_of: Column, hooks: Hooks | None = None, cache: DataFrame | None = None) -> Report:
+    """Every stage that later ones read is written to the shared folder. With a cache only fingerprints that it lacks are
+    made; the report's ``fresh`` rows are what to put into it."""
     hooks, s = hooks or Hooks(), cfg["similarity"]
     filtered = materialise(hooks.run("after_low_pass", lowpass.apply(hooks.run("before_low_pass", entities), cfg, as_of)), "filtered")
     active = filtered.where("filter_state = 'pass'")
-    fp = materialise(hooks.run("after_fingerprint", fingerprints(hooks.run("before_fingerprint", active), cfg)), "fingerprints")
+    active, fresh = hooks.run("before_fingerprint", active), None
+    if cache is None:
+        made = fingerprints(active, cfg)
+    else:
+        made, fresh = cached_fingerprints(active, cfg, cache)
+    fp = materialise(hooks.run("after_fingerprint", made), "fingerprints")
     rows = candidates.without_hot(candidates.keys(fp, KEYS), {"file": s["max_file_bucket"], "module": s["max_module_bucket"]})
     hard = fp.where(F.size("linked_issues") > 0).select("entity_id")
     pairs = candidates.unordered(candidates.top_candidates(candidates.votes(rows), cfg, fp.count(), hard))
+    pairs = hooks.run("before_similarity", pairs)
     a = fp.select(F.col("entity_id").alias("entity_a"), F.col("lane").alias("kind_a"), F.struct(*_PAIR).alias("a"))
     b = fp.select(F.col("entity_id").alias("entity_b"), F.col("lane").alias("kind_b"), F.struct(*_PAIR).alias("b"))
     scored = scoring.edges(pairs.join(a, "entity_a").join(b, "entity_b"), cfg).select("entity_a", "entity_b", "tier", *METRICS)
     edges = materialise(hooks.run("after_similarity", scored), "edges")
-    grouped = materialise(hooks.run("after_cluster", graph.clusters(fp.select(F.col("entity_id").alias("node")), edges, cfg)), "clusters")
+    grouped = materialise(hooks.run("after_cluster", graph.clusters(fp.select(F.col("entity_id").alias("node")), hooks.run("before_cluster", edges), cfg)), "clusters")
     types = materialise(graph.number(graph.classify(grouped, edges)), "types")
     members = materialise(grouped.join(types.select("component", "cluster_id"), "component").select("cluster_id", F.col("node").alias("entity_id")), "members")
     weights = filtered.select(F.col("id").alias("entity_id"), "priority_weight")
-    ranked = canonical.rank(canonical.scores(members, fp, edges, weights, cfg), edges, cfg)
+    ranked = canonical.rank(hooks.run("before_canonical", canonical.scores(members, fp, edges, weights, cfg)), edges, cfg)
     decisions = materialise(hooks.run("after_canonical", ranked), "decisions")
     shadows = canonical.attach_shadows(members, fp, filtered.where("filter_state <> 'pass'"))
-    return Report(filtered, fp, edges, members, types, decisions, canonical.route(filtered, decisions, types, cfg), shadows)
+    routing = hooks.run("after_action", canonical.route(filtered, hooks.run("before_action", decisions), types, cfg))
+    return Report(filtered, fp, edges, members, types, decisions, routing, shadows, fresh)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 POINTS = (
     "before_normalize", "after_normalize", "before_low_pass", "after_low_pass", "before_fingerprint", "after_fingerprint", "before_similarity",
-    "after_similarity", "before_cluster", "after_cluster", "before_canonical", "after_canonical", "on_error",
+    "after_similarity", "before_cluster", "after_cluster", "before_canonical", "after_canonical", "before_action", "after_action", "on_error",
 )
 
 

@@ -26,15 +26,24 @@ def hunk_signatures(hunks: Column) -> Column:
 
 
 def diff_text(files: Column, hunks: Column, most_hunks: int = 200, most_lines: int = 10) -> Column:
-    """The text that stands for a diff in an embedding."""
+    """The text that stands for a diff in an embedding: a line of files and a line of hunks, each only where there are any."""
 
     def one(h: Column) -> Column:
-        added = F.transform(F.slice(h["added_lines"], 1, most_lines), lambda x: F.concat(F.lit("+"), x))
-        removed = F.transform(F.slice(h["removed_lines"], 1, most_lines), lambda x: F.concat(F.lit("-"), x))
-        return F.array_join(F.concat(F.array(F.concat_ws(" ", h["file_path"], h["context"])), added, removed), "\n")
+        part = lambda xs: F.array_join(F.slice(xs, 1, most_lines), " ")
+        return F.concat_ws(" ", h["file_path"], F.coalesce(h["context"], F.lit("")), part(h["added_lines"]), part(h["removed_lines"]))
+
+    body = F.array_join(F.transform(F.slice(hunks, 1, most_hunks), one), " ")
+    return F.concat_ws(
+        "\n",
+        F.when(F.size(files) > 0, F.concat(F.lit("files:"), F.array_join(files, " "))),
+        F.when(F.size(hunks) > 0, F.concat(F.lit("hunks:"), body)),
+    )
+
 
-    body = F.array_join(F.transform(F.slice(hunks, 1, most_hunks), one), "\n")
-    return F.concat_ws("\n", F.concat(F.lit("files: "), F.array_join(files, " ")), F.concat(F.lit("hunks:\n"), body))
+def material_tokens() -> Column:
+    """What sketches are made of: tokens, links of both kinds and hunk signatures, in lower case."""
+    every = F.concat("tokens", "linked_issues", "soft_linked_issues", "hunk_signatures")
+    return F.filter(F.transform(every, F.lower), lambda x: x != "")
 
 
 def own_links(kind: Column, number: Column, links: Column) -> Column:
@@ -89,4 +98,4 @@ def input_hash(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-__all__ = ["assemble", "diff_text", "hash_embedding", "hunk_signatures", "input_hash", "lines", "own_links", "token_body"]
+__all__ = ["assemble", "diff_text", "hash_embedding", "hunk_signatures", "input_hash", "lines", "material_tokens", "own_links", "token_body"]

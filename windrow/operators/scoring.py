@@ -22,7 +22,7 @@ def features(pairs: DataFrame, cfg: dict[str, Any]) -> DataFrame:
         "lineage": lineage,
         "hunk_overlap": T.jaccard(a["hunk_signatures"], b["hunk_signatures"]),
         "file_overlap": T.jaccard(a["changed_files"], b["changed_files"]),
-        "title_salient": T.overlap(T.salient(a["title_tokens"]), T.salient(b["title_tokens"])),
+        "title_salient": T.jaccard(T.salient(a["title_tokens"]), T.salient(b["title_tokens"])),
         "hard_link": F.greatest(T.jaccard(a["linked_issues"], b["linked_issues"]), T.overlap(a["linked_issues"], b["linked_issues"])),
         "soft_link": T.jaccard(a["soft_linked_issues"], b["soft_linked_issues"]),
         "semantic_text": F.greatest(F.lit(0.0), T.cosine(a["text_embedding"], b["text_embedding"])),

@@ -9,8 +9,8 @@ KEY = ["repo", "entity_id"]
 
 
 def latest(rows: DataFrame, key: list[str], by: str) -> DataFrame:
-    """One row a key: the one with the largest ``by``."""
-    order = Window.partitionBy(*key).orderBy(F.desc(by))
+    """One row a key: the one with the largest ``by``; of equal ones, that whose other columns have the largest hash."""
+    order = Window.partitionBy(*key).orderBy(F.desc_nulls_last(by), F.desc(F.xxhash64(*rows.columns)))
     return rows.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
@@ -23,24 +23,27 @@ def upsert_preserving(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old payload and watermark stay where the revision is the same, the new row has no files and the old one has;
     else the new row wins and its watermark is empty."""
     o = old.select(*KEY, *(F.col(c).alias(f"o_{c}") for c in ("updated_at", "payload", "n_files", "watermark", "state")))
-    n = new.select(*KEY, *(F.col(c).alias(f"n_{c}") for c in ("updated_at", "payload", "n_files", "state")))
+    n = new.select(*KEY, F.lit(True).alias("arrived"), *(F.col(c).alias(f"n_{c}") for c in ("updated_at", "payload", "n_files", "state")))
     joined = o.join(n, KEY, "full_outer")
-    arrived = F.col("n_updated_at").isNotNull()
-    keep = arrived & (F.col("o_updated_at") == F.col("n_updated_at")) & (F.col("n_n_files") == 0) & (F.col("o_n_files") > 0)
+    arrived = F.coalesce("arrived", F.lit(False))
+    keep = arrived & F.col("o_updated_at").eqNullSafe(F.col("n_updated_at")) & (F.col("n_n_files") == 0) & (F.col("o_n_files") > 0)
     kept = ~arrived | F.coalesce(keep, F.lit(False))
     pick = lambda c: F.when(kept, F.col(f"o_{c}")).otherwise(F.col(f"n_{c}")).alias(c)
     return joined.select(
         *KEY,
-        F.coalesce("n_updated_at", "o_updated_at").alias("updated_at"),
-        F.coalesce("n_state", "o_state").alias("state"),
+        F.when(arrived, F.col("n_updated_at")).otherwise(F.col("o_updated_at")).alias("updated_at"),
+        F.when(arrived, F.col("n_state")).otherwise(F.col("o_state")).alias("state"),
         pick("payload"),
         pick("n_files"),
         F.when(kept, F.col("o_watermark")).alias("watermark"),
     )
 
 
-def close_unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
-    """Open rows whose id was not seen are closed; everything else stays."""
+def close_unseen(rows: DataFrame, seen: DataFrame, whole: bool = True) -> DataFrame:
+    """Open rows whose id was not seen are closed; everything else stays. ``whole``: whether the pass that saw the rows was
+    complete; after a partial one nothing is closed."""
+    if not whole:
+        return rows.withColumn("closed_now", F.lit(False))
     marked = rows.join(seen.select(*KEY).distinct().withColumn("__seen", F.lit(True)), KEY, "left")
     closes = (F.col("state") == "open") & F.col("__seen").isNull()
     return marked.withColumns({"state": F.when(closes, "closed").otherwise(F.col("state")), "closed_now": closes}).drop("__seen")
@@ -59,15 +62,15 @@ def needs_enrichment(entities: DataFrame, marks: DataFrame) -> DataFrame:
     return entities.join(m, KEY, "left").where(F.col("__w").isNull() | (F.col("__w") != F.col("updated_at")) | missing).drop("__w")
 
 
-def quality_stats(rows: DataFrame) -> DataFrame:
-    """One row of conditional counts, zero for an empty table."""
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias
-    return rows.agg(
+def quality_stats(rows: DataFrame, kind: str | None = None) -> DataFrame:
+    """One row of conditional counts over all rows (or those of a kind), zero for an empty table."""
+    count = lambda c, name: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(name)
+    return (rows if kind is None else rows.where(F.col("kind") == kind)).agg(
         F.count("*").alias("total"),
-        count(F.col("kind") == "pr")("prs"),
-        count((F.col("kind") == "pr") & (F.col("n_files") == 0))("prs_without_files"),
-        count(F.col("ci_status") == "unknown")("ci_unknown"),
-        count(F.col("watermark").isNotNull())("enriched"),
+        count(F.coalesce("n_files", F.lit(0)) == 0, "missing_changed_files"),
+        count(F.coalesce("n_hunks", F.lit(0)) == 0, "missing_diff_hunks"),
+        count(F.coalesce("ci_status", F.lit("unknown")) == "unknown", "ci_unknown"),
+        count(F.col("watermark").isNotNull(), "enriched_rows"),
     )
 
 

@@ -26,6 +26,7 @@ _COLUMNS = {
     "toxic": "l.toxic",
 }
 AS_OF = "2024-07-01 00:00:00"
+HUNKS = "array<struct<file_path: string, context: string, added_lines: array<string>, removed_lines: array<string>>>"
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         "soft_linked_issues": link(7, 3),
         "patch_ids": F.when(i % 6 == 1, F.array(F.concat(F.lit("c"), F.floor(i / 12).cast("string")))).otherwise(F.array().cast("array<string>")),
         "updated_at": F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(days=(i % 120).cast("int")),
+        "created": F.date_sub(F.date_sub(F.to_date(F.lit(AS_OF)), (i % 120).cast("int")), (i % 45).cast("int")),
+        "diff_hunks": F.when(F.col("kind") == "issue", F.array().cast(HUNKS)).otherwise(F.array(F.struct(
+            F.concat(module, F.lit("/f"), (i % 19).cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("def g"), (i % 5).cast("string")).alias("context"),
+            F.array(F.substring("title", 1, 40)).alias("added_lines"), F.array(F.concat(F.lit("old "), (i % 3).cast("string"))).alias("removed_lines"),
+        ))),
         "is_bot": F.lit(False),
     }).drop("quality", "toxic")
 
@@ -64,7 +70,10 @@ ent AS (SELECT *,
   CASE WHEN number % 5 = 0 THEN [CAST(number - number % 3 AS VARCHAR)] ELSE []::VARCHAR[] END AS linked_issues,
   CASE WHEN number % 7 = 0 THEN [CAST(number - number % 3 + 3 AS VARCHAR)] ELSE []::VARCHAR[] END AS soft_linked_issues,
   CASE WHEN number % 6 = 1 THEN ['c' || CAST(number // 12 AS VARCHAR)] ELSE []::VARCHAR[] END AS patch_ids,
-  number % 120 AS age_days
+  number % 120 AS age_days,
+  CAST(DATE '2024-07-01' - to_days(CAST(number % 120 AS INT)) - to_days(CAST(number % 45 AS INT)) AS DATE) AS created,
+  CASE WHEN kind = 'issue' THEN []::STRUCT(p VARCHAR, c VARCHAR, a VARCHAR, r VARCHAR)[]
+       ELSE [{'p': 'src/m' || (number % 11) || '/f' || (number % 19) || '.py', 'c': 'def g' || (number % 5), 'a': substr(title, 1, 40), 'r': 'old ' || (number % 3)}] END AS hunks
   FROM base)
 """
 )

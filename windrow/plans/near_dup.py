@@ -9,26 +9,6 @@ from windrow.functions import text as T
 from windrow.operators.components import components
 from windrow.session import materialise, table
 
-#: Shingle hashes are keys when they fall into one class of this many (the same for every document).
-CLASSES, MOST_HOLDERS, THRESHOLD = 8, 300, 0.5
-
-
-def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, component, n_chars, is_canonical. Blocks by shared sampled shingles that at most 300 documents hold,
-    links pairs by Jaccard similarity of the sampled shingles of 0.5 or more, groups by connected components and keeps
-    the longest document of each."""
-    cut = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
-    hashed = cut.select("doc_id", F.explode(T.shingles(F.col("w"), k)).alias("s")).select("doc_id", T.hash60(F.col("s")).alias("h"))
-    keys = materialise(hashed.where(F.col("h") % CLASSES == 0).distinct(), "keys")
-    sizes = keys.groupBy("doc_id").agg(F.count("*").alias("n"))
-    usable = keys.join(keys.groupBy("h").agg(F.count("*").alias("holders")).where(F.col("holders").between(2, MOST_HOLDERS)), "h")
-    other = usable.select(F.col("doc_id").alias("other"), "h")
-    shared = usable.join(other, "h").where("doc_id < other").groupBy("doc_id", "other").agg(F.count("*").alias("both"))
-    a, b = sizes.withColumnRenamed("n", "na"), sizes.select(F.col("doc_id").alias("other"), F.col("n").alias("nb"))
-    linked = shared.join(a, "doc_id").join(b, "other").where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= THRESHOLD)
-    return _canonical(docs, linked)
-
-
 def _canonical(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """Components of the links and the longest document of each."""
     grouped = components(linked, "doc_id", "other")
@@ -38,9 +18,10 @@ def _canonical(docs: DataFrame, linked: DataFrame) -> DataFrame:
     return placed.select("doc_id", "component", "n_chars", (F.row_number().over(order) == 1).alias("is_canonical"))
 
 
-def near_duplicates_whole(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The columns of near_duplicates over all shingles, none capped. Equal sets are one class; classes that share
-    enough meet in a shingle of both their prefixes (rarest first), and pairs are checked by their whole sets."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, component, n_chars, is_canonical over all shingles, none capped. Equal sets are one class; classes that share
+    enough meet in a shingle of both their prefixes (rarest first), and pairs are checked by their whole sets. The longest
+    document of each component is canonical."""
     cut = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
     hashed = cut.select("doc_id", F.explode(T.shingles(F.col("w"), k)).alias("s")).select("doc_id", T.hash60(F.col("s")).alias("h"))
     sets = hashed.groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
@@ -65,20 +46,14 @@ def e2e_near_dup_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"))
 
 
-def e2e_near_dup_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The whole job; e2e_near_dup_pipeline keeps to its SQL twin's sample, cap and threshold."""
-    return near_duplicates_whole(table(spark, d, "documents"))
-
-
 _TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+'), lambda x: lower(x))"
 _KEYS = f"""w AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
 g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4])) END) AS s FROM w),
-k AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) AS h FROM g) WHERE h % {CLASSES} = 0),
+k AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, CAST('0x' || substr(md5(s), 1, 15) AS BIGINT) AS h FROM g)),
 n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
-u AS (SELECT k.* FROM k JOIN (SELECT h FROM k GROUP BY h HAVING count(*) BETWEEN 2 AND {MOST_HOLDERS}) q ON k.h = q.h),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= {THRESHOLD}),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
 c AS (SELECT node, min(root) AS component FROM r GROUP BY node)"""
@@ -86,5 +61,5 @@ NEAR_DUP = f"""WITH RECURSIVE {_KEYS},
 f AS (SELECT d.doc_id, d.n_chars, coalesce(c.component, d.doc_id) AS component FROM documents d LEFT JOIN c ON c.node = d.doc_id)
 SELECT doc_id, component, n_chars, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) = 1 AS is_canonical FROM f"""
 
-QUERIES = {"e2e_near_dup_pipeline": e2e_near_dup_pipeline, "e2e_near_dup_whole": e2e_near_dup_whole}
+QUERIES = {"e2e_near_dup_pipeline": e2e_near_dup_pipeline}
 ORACLES = {"e2e_near_dup_pipeline": NEAR_DUP}

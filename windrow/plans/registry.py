@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import near_dup, tables, text_queries, triage
+from windrow.plans import near_dup, stored, tables, text_queries, triage
 
-MODULES = (near_dup, text_queries, triage, tables)
+MODULES = (near_dup, text_queries, triage, tables, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,7 +14,9 @@ from windrow.streaming.ingest import VersionedTable, ingest
 
 
 def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Events as revisions of rows, one a user and type: the first half of the month is stored, the second arrives."""
+    """Events as revisions of rows, one a user and type: the first half of the month is stored, the second arrives.
+
+    Stored rows with an even k arrive again as they are, without files."""
     rows = table(spark, d, "events").select(
         F.col("event_type").alias("repo"), F.concat(F.lit("pr:"), F.col("user_id").cast("string")).alias("entity_id"), F.col("ts").cast("timestamp").alias("updated_at"),
         F.when(F.col("event_id") % 4 == 0, "closed").otherwise("open").alias("state"), F.col("props").alias("payload"),
@@ -22,9 +24,8 @@ def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     )
     rows = rows.withColumn("n_files", F.col("k") % 3)
     old = _last(rows.where("updated_at < '2024-01-16'")).withColumn("watermark", F.col("updated_at"))
-    # Half of the arriving rows repeat the stored revision without files.
     again = old.where("k % 2 = 0").select("repo", "entity_id", "updated_at", "state", F.lit('{"k": -1}').alias("payload"), F.lit(0).alias("n_files"))
-    new = _last(rows.where("updated_at >= '2024-01-16' AND k % 2 = 1")).select(*again.columns)
+    new = _last(rows.where("updated_at >= '2024-01-16'")).select(*again.columns)
     new = new.join(again, store.KEY, "left_anti").unionByName(again)
     return old, new
 
@@ -45,7 +46,7 @@ _STORED = """WITH e AS (SELECT event_type AS repo, 'pr:' || user_id AS entity_id
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, entity_id ORDER BY updated_at DESC, event_id DESC) AS r FROM e WHERE updated_at < TIMESTAMP '2024-01-16') WHERE r = 1),
 g AS (SELECT repo, entity_id, updated_at, state, '{"k": -1}' AS payload, 0 AS n_files FROM o WHERE k % 2 = 0),
 m AS (SELECT repo, entity_id, updated_at, state, payload, k % 3 AS n_files FROM
-  (SELECT *, row_number() OVER (PARTITION BY repo, entity_id ORDER BY updated_at DESC, event_id DESC) AS r FROM e WHERE updated_at >= TIMESTAMP '2024-01-16' AND k % 2 = 1) WHERE r = 1),
+  (SELECT *, row_number() OVER (PARTITION BY repo, entity_id ORDER BY updated_at DESC, event_id DESC) AS r FROM e WHERE updated_at >= TIMESTAMP '2024-01-16') WHERE r = 1),
 n AS (SELECT * FROM g UNION ALL SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.repo = m.repo AND g.entity_id = m.entity_id)),
 j AS (SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.entity_id, n.entity_id) AS entity_id, coalesce(n.state, o.state) AS state, n.updated_at IS NULL
   OR (o.updated_at = n.updated_at AND n.n_files = 0 AND o.k % 3 > 0) AS keep, o.payload AS op, n.payload AS np, o.k % 3 AS of, n.n_files AS nf, o.updated_at AS ow
@@ -97,9 +98,9 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     payload = F.to_json(F.struct(F.when(F.col("number") % 50 == 3, "x").otherwise(F.col("kind")).alias("kind"), "repo"))
     wrong = F.when(F.col("number") % 60 == 7, F.col("number") + 1).otherwise(F.col("number"))
     return e.select(
-        "repo", F.col("id").alias("entity_id"), "kind", F.lower("state").alias("state"), "is_draft", wrong.alias("number"), F.size("changed_files").alias("n_files"), "ci_status",
+        "repo", F.col("id").alias("entity_id"), "kind", F.lower("state").alias("state"), "is_draft", wrong.alias("number"), F.size("changed_files").alias("n_files"), F.size("diff_hunks").alias("n_hunks"), "ci_status",
         F.when(F.col("number") % 4 == 0, F.col("updated_at")).alias("watermark"), F.when(F.col("number") % 4 == 0, "full").alias("enrich_level"), payload.alias("payload"),
-        "author", F.to_date("updated_at").alias("day"),
+        "author", "created", F.to_date("updated_at").alias("updated"), F.col("number").alias("own_number"), "title", "linked_issues", "soft_linked_issues",
     )
 
 
@@ -107,8 +108,8 @@ def a_quality_stats(spark: SparkSession, d: str) -> DataFrame:
     return store.quality_stats(_rows(spark, d))
 
 
-A_QUALITY = ENTITIES + """SELECT count(*) AS total, CAST(sum((kind = 'pr')::INT) AS BIGINT) AS prs, CAST(sum((kind = 'pr' AND len(changed_files) = 0)::INT) AS BIGINT) AS prs_without_files,
-CAST(sum((ci_status = 'unknown')::INT) AS BIGINT) AS ci_unknown, CAST(sum((number % 4 = 0)::INT) AS BIGINT) AS enriched FROM ent"""
+A_QUALITY = ENTITIES + """SELECT count(*) AS total, count(*) FILTER (len(changed_files) = 0) AS missing_changed_files, count(*) FILTER (len(hunks) = 0) AS missing_diff_hunks,
+count(*) FILTER (ci_status = 'unknown') AS ci_unknown, count(*) FILTER (number % 4 = 0) AS enriched_rows FROM ent"""
 
 
 def a_audit_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -129,35 +130,50 @@ A_INTEGRITY = ENTITIES + """SELECT CAST(0 AS BIGINT) AS kind_id_mismatch, count(
 count(*) FILTER (number % 60 = 7) AS number_id_mismatch FROM ent"""
 
 
+BASE = "https://example.org/one"
+
+
 def a_authors_overview(spark: SparkSession, d: str) -> DataFrame:
-    return reports.authors_overview(_rows(spark, d))
+    return reports.authors_overview(_rows(spark, d), BASE)
 
 
-_DAY = "CAST(TIMESTAMP '2024-07-01' - to_days(CAST(age_days AS INT)) AS DATE)"
-A_OVERVIEW = ENTITIES + f""", r AS (SELECT author, kind, {_DAY} AS day FROM ent WHERE lower(state) = 'open' OR is_draft), l AS (SELECT max(day) AS last FROM r)
-SELECT min(author) AS author, count(*) AS total_all, count(*) FILTER (kind = 'pr') AS prs_all, count(*) FILTER (kind = 'issue') AS issues_all,
-count(*) FILTER (day >= last - 13) AS total_14d, count(*) FILTER (day >= last - 13 AND kind = 'pr') AS prs_14d, count(*) FILTER (day >= last - 13 AND kind = 'issue') AS issues_14d,
-count(*) FILTER (day >= last - 6) AS total_7d FROM r, l GROUP BY lower(author) ORDER BY 2 DESC, 5 DESC, 1 LIMIT 50"""
+A_OVERVIEW = ENTITIES + f""", r AS (SELECT lower(author) AS lc, author, kind, created AS c FROM ent WHERE lower(state) = 'open' OR is_draft), l AS (SELECT max(c) AS last FROM r),
+b AS (SELECT lc, min(author) AS author, count(*) AS total_all, count(*) FILTER (kind = 'pr') AS prs_all, count(*) FILTER (kind = 'issue') AS issues_all FROM r WHERE author IS NOT NULL GROUP BY lc),
+f AS (SELECT lc, count(*) AS total_14d, count(*) FILTER (kind = 'pr') AS prs_14d, count(*) FILTER (kind = 'issue') AS issues_14d FROM r, l WHERE c >= last - 13 GROUP BY lc),
+s AS (SELECT lc, count(*) AS total_7d FROM r, l WHERE c >= last - 6 GROUP BY lc)
+SELECT author, total_all, prs_all, issues_all, coalesce(total_14d, 0) AS total_14d, coalesce(prs_14d, 0) AS prs_14d, coalesce(issues_14d, 0) AS issues_14d, coalesce(total_7d, 0) AS total_7d,
+printf('{BASE}/issues?q=author%%3A%s+sort%%3Acreated-desc', author) AS all_link,
+printf('{BASE}/issues?q=author%%3A%s+created%%3A%s..%s+sort%%3Acreated-desc', author, CAST(last - 13 AS VARCHAR), CAST(last AS VARCHAR)) AS last14_link
+FROM b CROSS JOIN l LEFT JOIN f ON f.lc = b.lc LEFT JOIN s ON s.lc = b.lc ORDER BY total_all DESC, total_14d DESC, author LIMIT 50"""
 
 
 def a_authors_stale(spark: SparkSession, d: str) -> DataFrame:
-    return reports.authors_stale(_rows(spark, d), 2, 30)
+    return reports.authors_closed_stale(_rows(spark, d), BASE, 2, 1, 3)
 
 
-A_STALE = ENTITIES + f""", r AS (SELECT lower(author) AS author, lower(state) = 'open' AS is_open, {_DAY} AS day FROM ent), l AS (SELECT max(day) AS last FROM r)
-SELECT author, count(*) AS total, count(*) FILTER (is_open) AS open_total, count(*) FILTER (NOT is_open) AS closed, count(*) FILTER (is_open AND day < last - 30) AS stale
-FROM r, l GROUP BY author HAVING count(*) >= 2 ORDER BY stale DESC, closed DESC, author LIMIT 50"""
+A_STALE = ENTITIES + f""", r AS (SELECT lower(author) AS lc, author, lower(state) = 'closed' AS shut, lower(state) = 'open' OR is_draft AS alive, created AS c,
+  CAST(DATE '2024-07-01' - to_days(CAST(age_days AS INT)) AS DATE) AS u FROM ent WHERE author IS NOT NULL), l AS (SELECT max(c) AS mc, max(u) AS mu FROM r),
+a AS (SELECT min(author) AS author, count(*) FILTER (alive) AS total, count(*) FILTER (shut AND u >= mu - 13) AS closed_14d, count(*) FILTER (shut) AS closed_total,
+  count(*) FILTER (alive) AS open_total, count(*) FILTER (alive AND c <= mc - 14) AS stale_open_age14, count(*) FILTER (alive AND c <= mc - 30) AS stale_open_age30, max(mc) AS mc FROM r, l GROUP BY lc)
+SELECT * EXCLUDE (mc), printf('{BASE}/issues?q=author%%3A%s+sort%%3Acreated-desc', author) AS all_link, printf('{BASE}/issues?q=author%%3A%s+is%%3Aclosed+sort%%3Aupdated-desc', author) AS closed_link,
+printf('{BASE}/issues?q=author%%3A%s+is%%3Aopen+created%%3A..%s+sort%%3Acreated-asc', author, CAST(mc - 14 AS VARCHAR)) AS stale_link
+FROM a WHERE total >= 2 AND (closed_14d >= 1 OR stale_open_age14 >= 3) ORDER BY closed_14d DESC, stale_open_age14 DESC, total DESC, author LIMIT 50"""
 
 
 def a_linked_closed(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d).withColumn("repo", F.lit("one"))
-    return reports.linked_closed(e.where("kind = 'pr' AND state = 'open'"), e.where("kind = 'issue'"))
+    rows = _rows(spark, d).withColumn("number", F.col("own_number"))
+    return reports.linked_closed(rows, BASE, 200)
 
 
-A_LINKED = ENTITIES + """, p AS (SELECT DISTINCT id, ref FROM (SELECT id, unnest(list_concat(linked_issues, soft_linked_issues)) AS ref FROM ent WHERE kind = 'pr' AND state = 'open')),
-i AS (SELECT CAST(number AS VARCHAR) AS ref, lower(state) AS s FROM ent WHERE kind = 'issue'), j AS (SELECT p.id, p.ref, i.s FROM p LEFT JOIN i ON p.ref = i.ref)
-SELECT 'one' AS repo, id, count(*) AS links, count(*) FILTER (s = 'closed') AS closed, array_to_string(list_sort(list_distinct(list(ref || '=' || coalesce(s, 'unknown')))), ',') AS refs
-FROM j GROUP BY id HAVING count(*) FILTER (s = 'closed') > 0"""
+A_LINKED = ENTITIES + f""", p AS (SELECT number, author, created, CAST(DATE '2024-07-01' - to_days(CAST(age_days AS INT)) AS DATE) AS updated, title, linked_issues, soft_linked_issues
+  FROM ent WHERE kind = 'pr' AND (lower(state) = 'open' OR is_draft)),
+k AS (SELECT number, author, created, updated, title, CAST(unnest(linked_issues) AS BIGINT) AS ref, 'hard' AS how FROM p
+  UNION ALL SELECT number, author, created, updated, title, CAST(unnest(soft_linked_issues) AS BIGINT), 'soft' FROM p),
+g AS (SELECT number, author, created, updated, title, ref, string_agg(how, ',' ORDER BY how) AS how FROM k GROUP BY ALL),
+j AS (SELECT g.*, lower(i.state) = 'closed' AS shut FROM g LEFT JOIN ent i ON i.kind = 'issue' AND i.number = g.ref)
+SELECT number, author, created, updated, title, count(*) AS total_issue_links, count(*) FILTER (shut) AS closed_issue_links, string_agg('#' || ref, ', ' ORDER BY ref) AS all_issue_refs,
+string_agg('#' || ref || ' [' || how || ']', ', ' ORDER BY ref) FILTER (shut) AS closed_issue_refs, '{BASE}/pull/' || number AS pr_link
+FROM j GROUP BY number, author, created, updated, title HAVING count(*) FILTER (shut) > 0 ORDER BY closed_issue_links DESC, total_issue_links DESC, created, number LIMIT 200"""
 
 
 def v_cluster_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -194,19 +210,18 @@ max(CAST(CASE r.a WHEN 'OWNER' THEN 1.0 WHEN 'MEMBER' THEN 0.9 WHEN 'CONTRIBUTOR
 
 
 def v_bridge_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as clusters of customers: shared market segments are authors, shared parts of urgent orders references."""
+    """Nations as clusters of customers: shared market segments are authors, shared parts of their orders references."""
     customers = table(spark, d, "customer")
     members = customers.select(F.col("c_nationkey").cast("string").alias("cluster_id"), F.col("c_custkey").alias("entity_id"))
     author = customers.select(F.col("c_custkey").alias("entity_id"), F.lit("author").alias("what"), F.col("c_mktsegment").alias("value"))
-    urgent = table(spark, d, "orders").where("o_orderpriority LIKE '1%'")
-    lines = table(spark, d, "lineitem").join(urgent, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     ref = lines.select(F.col("o_custkey").alias("entity_id"), F.lit("ref").alias("what"), F.col("l_partkey").cast("string").alias("value"))
     none = spark.createDataFrame([], "entity_a bigint, entity_b bigint, total double")
     return serving.bridges(none, members, author.unionByName(ref)).withColumn("weight", F.round("weight", 6))
 
 
 V_BRIDGE = """WITH h AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS c, 'a' || c_mktsegment AS v, 0.8 AS w FROM customer
-UNION SELECT CAST(c_nationkey AS VARCHAR), 'r' || l_partkey, 1.2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority LIKE '1%')
+UNION SELECT CAST(c_nationkey AS VARCHAR), 'r' || l_partkey, 1.2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey)
 SELECT a.c AS cluster_a, b.c AS cluster_b, round(CAST(sum(a.w) AS DOUBLE), 6) AS weight FROM h a JOIN h b ON a.v = b.v AND a.c < b.c GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 2000"""
 
 

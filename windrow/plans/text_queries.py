@@ -94,19 +94,19 @@ p AS (SELECT conv_id, turn, s, lead(s) OVER (PARTITION BY conv_id ORDER BY turn)
 SELECT conv_id, turn, round(CASE WHEN len(s) + len(t) = 0 THEN 0.0 ELSE len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))) END, 6) AS jaccard,
   round(CASE WHEN least(len(s), len(t)) = 0 THEN 0.0 ELSE len(list_intersect(s, t))::DOUBLE / least(len(s), len(t)) END, 6) AS overlap FROM p WHERE t IS NOT NULL"""
 
-N_MIN = 16
+N_MIN = 64
 
 
 def _signatures(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.minhash(table(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")), 3, N_MIN)
+    return sketch.minhash(table(spark, d, "documents"), "doc_id", T.tokens(F.col("text")), 3, N_MIN)
 
 
 def s_minhash_sig(spark: SparkSession, d: str) -> DataFrame:
-    return _signatures(spark, d).select(F.col("key").alias("item_id"), F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+    return _signatures(spark, d).select(F.col("key").alias("doc_id"), F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
 def s_lsh_bands(spark: SparkSession, d: str) -> DataFrame:
-    return _signatures(spark, d).select(F.col("key").alias("item_id"), F.explode(sketch.bands(F.col("signature"), N_MIN, 8)).alias("band"))
+    return _signatures(spark, d).select(F.col("key").alias("doc_id"), F.explode(sketch.bands(F.col("signature"), N_MIN, 8)).alias("band"))
 
 
 _H28 = "CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)"
@@ -114,12 +114,12 @@ _H60 = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
 SHINGLES3 = """CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END"""
 _PERMS = ", ".join("coalesce(min((h * {} + {}) % {}), 0)".format(*T.permutation(i), T.MERSENNE) for i in range(N_MIN))
-_SIGS = f"""w AS (SELECT item_id, {TOKENS} AS w FROM benchmark), s AS (SELECT item_id, {SHINGLES3} AS s FROM w),
-e AS (SELECT item_id, {_H28} AS h FROM (SELECT item_id, unnest(s) AS x FROM s)),
-g AS (SELECT s.item_id, [{_PERMS}] AS sig FROM s LEFT JOIN e ON s.item_id = e.item_id GROUP BY s.item_id)"""
-S_MINHASH = f"WITH {_SIGS} SELECT item_id, array_to_string(sig, ',') AS signature FROM g"
-S_BANDS = f"""WITH {_SIGS}, b AS (SELECT item_id, sig, unnest(range(0, 8)) AS i FROM g)
-SELECT item_id, 'band:' || i || ':' || {_H60.format("array_to_string(sig[i * 2 + 1 : i * 2 + 2], ',')")} AS band FROM b"""
+_SIGS = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents), s AS (SELECT doc_id, {SHINGLES3} AS s FROM w),
+e AS (SELECT doc_id, {_H28} AS h FROM (SELECT doc_id, unnest(s) AS x FROM s)),
+g AS (SELECT s.doc_id, [{_PERMS}] AS sig FROM s LEFT JOIN e ON s.doc_id = e.doc_id GROUP BY s.doc_id)"""
+S_MINHASH = f"WITH {_SIGS} SELECT doc_id, array_to_string(sig, ',') AS signature FROM g"
+S_BANDS = f"""WITH {_SIGS}, b AS (SELECT doc_id, sig, unnest(range(0, 8)) AS i FROM g)
+SELECT doc_id, 'band:' || i || ':' || {_H60.format("array_to_string(sig[i * 8 + 1 : i * 8 + 8], ',')")} AS band FROM b"""
 
 
 def _simhashes(spark: SparkSession, d: str) -> DataFrame:
@@ -131,12 +131,13 @@ def s_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s_simhash_hamming(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that agree in a 15-bit chunk of their SimHash, and how many bits differ in all: at most six."""
+    """Documents that agree in a 15-bit chunk of their SimHash, and how many bits differ in all: at most three, which four
+    chunks cannot miss."""
     chunk = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftright("simhash", 15 * i).bitwiseAND(32767).alias("c")) for i in range(4)))).alias("x")
     rows = _simhashes(spark, d).select("key", "simhash", chunk).select("key", "simhash", "x.i", "x.c")
     other = rows.select(F.col("key").alias("other"), F.col("simhash").alias("simhash_b"), "i", "c")
     met = rows.join(other, ["i", "c"]).where("key < other").select("key", "other", T.hamming(F.col("simhash"), F.col("simhash_b")).cast("long").alias("distance"))
-    return met.where("distance <= 6").distinct().select(F.col("key").alias("doc_a"), F.col("other").alias("doc_b"), "distance")
+    return met.where("distance <= 3").distinct().select(F.col("key").alias("doc_a"), F.col("other").alias("doc_b"), "distance")
 
 
 _BITS = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) >= 0 THEN {1 << i} ELSE 0 END" for i in range(60))
@@ -146,7 +147,7 @@ f AS (SELECT d.doc_id, coalesce(g.simhash, 0) AS simhash FROM documents d LEFT J
 S_SIMHASH = f"WITH {_SIM} SELECT doc_id, simhash FROM f"
 S_HAMMING = f"""WITH {_SIM}, c AS (SELECT doc_id, simhash, i, (simhash >> (15 * i)) & 32767 AS c FROM f, (SELECT unnest([0, 1, 2, 3]) AS i))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS BIGINT) AS distance
-FROM c a JOIN c b ON a.i = b.i AND a.c = b.c AND a.doc_id < b.doc_id WHERE bit_count(xor(a.simhash, b.simhash)) <= 6"""
+FROM c a JOIN c b ON a.i = b.i AND a.c = b.c AND a.doc_id < b.doc_id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3"""
 
 
 def s_winnow(spark: SparkSession, d: str) -> DataFrame:

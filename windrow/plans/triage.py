@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from windrow import config, engine
 from windrow.operators import candidates, canonical, fingerprint, graph, lowpass, scoring
+from windrow.plans import pair_sql
 from windrow.plans.adapters import AS_OF, ENTITIES, entities
 from windrow.session import materialise, table
 
-CFG = config.merged({"low_pass": {"suppress_bot_authors": True, "ignore_recent_pr_hours": 48}, "embedding": {"dims": 64}})
+CFG = config.merged({"low_pass": {"suppress_bot_authors": True, "ignore_recent_pr_hours": 48}})
 
 
 def _filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +123,26 @@ def _run(spark: SparkSession, d: str) -> engine.Report:
     return engine.run(entities(spark, d), CFG, F.to_timestamp(F.lit(AS_OF)))
 
 
+def x_fingerprint_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with even numbers are cached, some under an older revision or another model: what a run makes anew, and
+    whether every fingerprint is the one that a run without a cache makes."""
+    active = _filtered(spark, d).where("filter_state = 'pass'")
+    plain = materialise(engine.fingerprints(active, CFG), "plain")
+    own = active.select("repo", F.col("id").alias("entity_id"), "updated_at", "number")
+    cache = plain.join(own, "entity_id").where("number % 2 = 0").withColumns({
+        "updated_at": F.when(F.col("number") % 10 == 0, F.col("updated_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("updated_at")),
+        "model_id": F.when(F.col("number") % 14 == 0, "another").otherwise(engine.model_id(CFG)),
+    }).drop("number")
+    made, fresh = engine.cached_fingerprints(active, CFG, materialise(cache, "cache"))
+    digest = lambda df, name: df.select("entity_id", F.xxhash64(*(F.col(c) for c in sorted(plain.columns) if c != "winnow"), F.array_sort("winnow")).alias(name))
+    both = digest(made, "x").join(digest(plain, "y"), "entity_id").join(fresh.select("entity_id", F.lit(1).alias("new")), "entity_id", "left")
+    return both.select("entity_id", F.col("new").isNull().alias("hit"), (F.col("x") == F.col("y")).alias("same"))
+
+
+X_CACHE = FILTERED + """SELECT id AS entity_id, number % 2 = 0 AND number % 10 <> 0 AND number % 14 <> 0 AND len(regexp_extract_all(coalesce(title, ''), '[a-zA-Z0-9_]+')) > 0 AS hit, true AS same
+FROM f WHERE filter_state = 'pass'"""
+
+
 def p_edge_tier(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d).edges.select("entity_a", "entity_b", "tier", *(F.round(m, 6).alias(m) for m in engine.METRICS))
 
@@ -137,6 +158,15 @@ def p_pair_score(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("entity_a", "entity_b", *(F.round(m, 6).alias(m) for m in engine.METRICS))
 
 
+_ROUNDED = "entity_a, entity_b, " + ", ".join(f"round({m}, 6) AS {m}" for m in engine.METRICS)
+P_PAIR = (
+    pair_sql.fingerprints(FILTERED, CFG) + pair_sql.candidates(CFG, sketches=False)
+    + pair_sql.features(CFG, "SELECT DISTINCT least(entity_id, other) AS entity_a, greatest(entity_id, other) AS entity_b FROM met") + f"SELECT {_ROUNDED} FROM score"
+)
+_EDGES = pair_sql.fingerprints(FILTERED, CFG) + pair_sql.candidates(CFG, sketches=True) + pair_sql.features(CFG, pair_sql.chosen(CFG)) + pair_sql.tiers(CFG)
+P_TIER = _EDGES + f"SELECT tier, {_ROUNDED} FROM edge"
+
+
 def g_cluster_type(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d).types.select("cluster_id", "component", "n", "cluster_type")
 
@@ -208,16 +238,7 @@ m AS (SELECT entity_a, entity_b FROM e WHERE strong OR firm
 
 
 def g_components(spark: SparkSession, d: str) -> DataFrame:
-    """Customers who buy the same part (numbers divisible by nine) of the same supplier, by component."""
-    return graph.components(_nine(spark, d), "entity_a", "entity_b").select(F.col("node").alias("customer"), "component")
-
-
-def _nine(spark: SparkSession, d: str) -> DataFrame:
-    return _links(table(spark, d, "lineitem").where("l_partkey % 9 = 0"), table(spark, d, "orders"))
-
-
-def g_components_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all parts; g_components keeps to its SQL twin's filter."""
+    """Customers who buy the same part of the same supplier, by component."""
     links = _links(table(spark, d, "lineitem"), table(spark, d, "orders"))
     return graph.components(links, "entity_a", "entity_b").select(F.col("node").alias("customer"), "component")
 
@@ -228,19 +249,19 @@ def _links(lines: DataFrame, orders: DataFrame) -> DataFrame:
     return held.join(first, ["l_partkey", "l_suppkey"]).select("entity_a", F.col("o_custkey").alias("entity_b"))
 
 
-G_COMPONENTS = """WITH RECURSIVE h AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 9 = 0),
+G_COMPONENTS = """WITH RECURSIVE h AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 f AS (SELECT p, s, min(c) AS a FROM h GROUP BY 1, 2), e AS (SELECT DISTINCT a, c AS b FROM h JOIN f ON h.p = f.p AND h.s = f.s),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node)
 SELECT node AS customer, min(root) AS component FROM r GROUP BY node"""
 
 QUERIES = {f.__name__: f for f in (
     f_lowpass_cascade, f_lowpass_reason_hist, f_docs_only, s_diff_material, j_hot_bucket_cap, j_inverted_index_votes, w_topk_candidates,
-    p_pair_score, p_edge_tier, g_merge_edges, g_components, g_components_whole, g_tail_prune, g_cluster_type, g_shadow_attach, c_canonical_rank, r_routing,
-    e2e_triage_profile,
+    p_pair_score, p_edge_tier, g_merge_edges, g_components, g_tail_prune, g_cluster_type, g_shadow_attach, c_canonical_rank, r_routing,
+    e2e_triage_profile, x_fingerprint_cache,
 )}
 ORACLES = {
     "f_lowpass_cascade": F_CASCADE, "f_lowpass_reason_hist": F_HIST, "f_docs_only": F_DOCS, "s_diff_material": S_DIFF,
     "j_hot_bucket_cap": _KEYS + "SELECT kind, key, holders, times FROM z WHERE holders <= CASE WHEN kind = 'file' THEN 300 ELSE 800 END",
     "j_inverted_index_votes": _VOTES + " SELECT entity_id, count(*) AS others, CAST(sum(votes) AS BIGINT) AS votes, max(votes) AS best FROM v GROUP BY 1",
-    "w_topk_candidates": W_TOPK, "g_merge_edges": _TRADE + "SELECT entity_a, entity_b FROM m", "g_components": G_COMPONENTS, "g_shadow_attach": G_SHADOW,
+    "w_topk_candidates": W_TOPK, "g_merge_edges": _TRADE + "SELECT entity_a, entity_b FROM m", "g_components": G_COMPONENTS, "p_pair_score": P_PAIR, "x_fingerprint_cache": X_CACHE, "p_edge_tier": P_TIER, "g_shadow_attach": G_SHADOW,
 }

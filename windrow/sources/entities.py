@@ -68,7 +68,7 @@ def from_issues(rows: DataFrame) -> DataFrame:
         "reactions MAP<STRING, STRING>, pull_request STRUCT<url: STRING>, created_at TIMESTAMP, updated_at TIMESTAMP, author_association STRING"
     )
     p = rows.where(F.get_json_object("payload", "$.pull_request").isNull()).select("repo", F.from_json("payload", kind).alias("p"))
-    values = F.map_values(F.map_filter("p.reactions", lambda k, v: (k != "url") & (k != "total_count") & v.rlike("^[0-9]+$")))
+    values = F.map_values(F.map_filter("p.reactions", lambda k, v: (k != "url") & v.rlike("^[0-9]+$")))
     total = F.aggregate(F.transform(values, lambda v: v.cast("int")), F.lit(0), lambda t, x: t + x)
     return p.select(
         F.concat(F.lit("issue:"), F.col("p.number").cast("string")).alias("id"), "repo", F.lit("issue").alias("kind"), F.col("p.number").alias("number"),
