@@ -223,7 +223,7 @@ def test_chains_match_enumeration():
     symbols = rng.integers(0, 6, at[-1])
     c = chains.Chains(at)
     c.forward(symbols, emit, step, first, keep=True)
-    gamma, _ = c.backward(symbols, emit, step)
+    gamma = c.flat(c.backward(emit, step)[0])
     for k, n in enumerate(lengths):
         own = symbols[at[k] : at[k + 1]]
         total, marginal = 0.0, np.zeros((n, 3))
@@ -242,10 +242,19 @@ def test_language(docs, nothing):
     assert sum(a == b for a, b in held) > 0.9 * len(held)
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (93, 94, 95, 96))
     assert langid.identify(nothing).count() == 0
+    marks = docs.sparkSession.createDataFrame([(1, "½ ² ٣ 42"), (2, "ª tola")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(marks, langid.train(docs)).orderBy("doc_id").collect()][0] == "und"
     kept = langid.keep_known(docs)
     assert kept.columns == docs.columns and not {93, 94, 95, 96} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"ab{chr(97 + i % 70 // 26)}{chr(97 + i % 26)} " * 30, f"l{i % 70:02d}") for i in range(420)]
+    rows += [(5_000, "q" * 100_000, "l00")] * 50  # one id and text many times, longer than a span
+    field = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(field.langs) == 70
+
+
 def test_code_switched_words():
     rng = random.Random(1)
     a, b = (["lami", "tola", "misa"], ["krzu", "wuth", "grix"])
@@ -273,6 +282,41 @@ def test_language_model_base_is_exact_and_model_better(docs, nothing):
     assert hmm.score_corpus(nothing).count() == 0
 
 
+def test_language_model_scores_match_enumeration(docs):
+    """Scores are the sums over all paths of states, with each word's share of its kind; Spark's rounds are plain rounds."""
+    fold = docs.where("doc_id is null or pmod(crc32(cast(doc_id as string)), 7) <> 2")
+    counts = hmm.materialise(hmm.word_counts(fold), "words")
+    model, prior = hmm.prepare(fold, counts, states=2, symbols=12, table_words=20)
+    encoded = hmm.encode(docs, model)
+    start = hmm.Model(**{**vars(model), "symbol": {}})
+    gained = hmm.train(encoded, model, prior, start_texts=0, rounds=3, least_gain=-1.0)
+    texts = [np.frombuffer(bytes(r[0]), hmm.SYMBOL).astype(np.int64) for r in encoded.where("doc_id is null or pmod(crc32(cast(doc_id as string)), 7) <> 2").select("symbols").collect()]
+    for want in gained:
+        first, moves, emitted, score = hmm._expect(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), start)
+        assert math.isclose(score / sum(map(len, texts)), want, rel_tol=1e-5)
+        hmm._maximise(start, first, moves, emitted, prior)
+    assert np.allclose(start.emit, model.emit, rtol=1e-3) and gained == sorted(gained)
+
+    c = {r["word"]: r["c"] for r in counts.collect()}
+    short = ["", "lami tola", "misa unseen42 krz", "Wuth! grix", "é la", "  x\n"]
+    few = docs.sparkSession.createDataFrame(list(enumerate(short)), "doc_id long, text string")
+    for row in hmm.scores(hmm.encode(few, model), counts, model).collect():
+        words, share, symbols = WORD.findall(norm(short[row["doc_id"]])), 1.0, []
+        for w in words:
+            if w in model.index():
+                symbols.append(model.index()[w])
+                continue
+            kind = 2 * (not w.isascii()) + (not w[-1].isalnum())
+            symbols.append(model.end + 1 + kind)
+            share *= (c[w] - 0.75 if w in c else model.kind_left[kind]) / model.kind_total[kind]
+        symbols.append(model.end)
+        total = sum(
+            model.first[p[0]] * model.emit[symbols[0], p[0]] * math.prod(model.step[p[t - 1], p[t]] * model.emit[symbols[t], p[t]] for t in range(1, len(p)))
+            for p in itertools.product(range(2), repeat=len(symbols))
+        )
+        assert math.isclose(row["score"], math.log10(total * share), rel_tol=1e-9)
+
+
 # -- toxicity -------------------------------------------------------------------------------------------------
 
 
@@ -291,9 +335,10 @@ def test_label_model_recovers_accuracies_and_correlations():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
     noisy = lambda right: np.where(rng.random(4000) < right, y, ~y).astype(int)
-    good, bad, label = noisy(0.95), noisy(0.6), noisy(0.9)
-    votes = np.column_stack([good, bad, bad, label])
-    posterior, theta, correlation = toxicity.label_model(votes, 0.3)
+    good, bad, other = noisy(0.95), noisy(0.6), noisy(0.9)
+    votes = np.column_stack([good, bad, bad, other])
+    start = np.where(np.arange(4000) < 800, np.where(noisy(0.9) == 1, 0.95, 0.05), np.nan)  # labels of a fifth, some wrong
+    posterior, theta, correlation = toxicity.label_model(votes, start, 0.3)
     assert ((posterior > 0.5) == y).mean() > 0.93
     assert theta[0, 1, 2] > 0.9 and theta[1, 1, 2] < 0.75 and correlation[1, 2] > 0.9 > abs(correlation[0, 1])
 
@@ -488,7 +533,36 @@ def test_thin_keeps_clean_documents(docs, labels):
     assert kept.columns == docs.columns
     rates = {r["doc_id"]: r for r in mixing.rates(docs, labels, WEIGHTS, whole="clean").collect()}
     ids = {r["doc_id"] for r in kept.collect()}
-    assert ids == {i for i, r in rates.items() if r["p_clean"] >= 0.5 or r["copies"] >= 1}
+    assert ids == {i for i, r in rates.items() if r["copies"] >= 1}
+    assert all(r["rate"] == 1 for r in rates.values() if r["p_clean"] >= 0.5) and all(0 <= r["rate"] <= 1 for r in rates.values())
+
+
+def test_thinned_totals_meet_weights(spark):
+    """Documents of three plain kinds: what stays in expectation has the domains' shares, all clean documents in it."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(900):
+        bad, low = i % 3 == 0, i % 3 == 1
+        words = [rng.choice(["lami", "tola", "misa", "rami", "sola"]) for _ in range(rng.randint(80, 90))]
+        if bad:
+            words = [rng.choice(["vilescum", "vilefoul", "vilenasty"]) if j % 4 == 0 else w for j, w in enumerate(words)]
+        rows.append((i, ("!!! ".join(words).upper() if low else " ".join(words))))
+        labels.append((i, int(not low), int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS)
+    weights = {"clean": 0.7, "low": 0.2, "toxic": 0.1}
+    got = mixing.rates(docs, known, weights, whole="clean").collect()
+    totals = {d: sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in got) for d in mixing.DOMAINS}
+    for d in mixing.DOMAINS:
+        assert math.isclose(totals[d] / sum(totals.values()), weights[d], rel_tol=0.01), totals
+    assert sum(r["rate"] == 1 for r in got) >= 300
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"some words of text number {i // 2 * 2} that stand here", f"a{i}", f"b{i}", f"c{i}", f"d{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __digest string, row string, stays string")
+    for kept in (exact_dedup.drop_copies(docs), jaccard_join.drop_near(docs), langid.keep_known(docs)):
+        assert kept.columns == docs.columns and set(map(tuple, kept.collect())) <= set(rows)
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(docs).collect()} == set(range(1, 20, 2))
 
 
 # -- sharding -------------------------------------------------------------------------------------------------
@@ -527,3 +601,12 @@ def test_shards_cut_no_group_that_fits(spark, singles):
     assert len(got) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
     cut = [t for t, s in where.items() if len(s) > 1 and t != "hot"]
     assert len(where["hot"]) <= (6 if singles else 8) and len(cut) <= (0 if singles else 8)
+
+
+def test_rows_of_one_id_with_several_texts_have_groups_of_their_own(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (3, " ".join([*a, "more"])), (9, " ".join([*b, "yet"])), (8, " ".join(c)), (7, ""), (None, " ".join(c)), (9, " ".join([*b, "yet"]))]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()), key=str)
+    assert got == sorted([(7, 57, 3), (7, 57, 7), (3, 58, 3), (9, 58, 7), (9, 58, 7), (8, 57, 8), (7, 0, 7), (None, 57, None)], key=str)

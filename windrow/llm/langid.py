@@ -6,28 +6,32 @@ code-switched sequences, spliced from spans of labelled texts of different langu
 word's label comes from forward-backward; a text takes the label with the largest posterior mass over its words
 that hold a letter.
 
-Only ``text`` and ``lang`` of documents outside the held-out fold are learned from, at most ``per_lang`` texts of
-each of the ``langs`` most frequent languages (in expectation; chosen by a hash of the id).
+Only ``text`` and ``lang`` of documents outside the held-out fold are learned from, every language of them: about
+``per_lang`` texts each, chosen by a hash of id and text, equal rows once, of a long text a span of ``SPAN`` characters,
+and of each language ``most_words`` words divided by the number of languages. Whole texts are labelled.
 
-Cases: null texts and texts without a letter are ``und`` with score 0; without anything to learn from, all are;
-repeated rows give repeated results; further columns are ignored by :func:`predict`, kept by :func:`keep_known`.
+Cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; without anything to learn
+from, all are; very long texts are one long chain; of equally likely languages the first by name holds; repeated rows
+give repeated results; further columns are ignored by :func:`predict`, kept by :func:`keep_known`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.chains import Chains
 from windrow.llm.common import crc_mod, id_text, numbered, offsets, run_sums, slices, word_bytes, word_hashes, words_of
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Characters of a text that are learned from at most.
+SPAN = 20_000
 GRAMS, GRAM_BITS, WORD_BITS = (1, 2, 3, 4), 15, 16
 FOLDS, HELD = 3, 1
 
@@ -107,7 +111,7 @@ def _spliced(texts: list[tuple[str, str]], langs: list[str], rng: np.random.Gene
 
 
 def fit(texts: list[tuple[str, str]], epochs: int = 3, batch: int = 48, rate: float = 0.3, most_words: int = 600_000) -> Field:
-    """Adagrad on the conditional log-likelihood. Learns from whole texts until ``most_words`` words are reached."""
+    """Adagrad on the conditional log-likelihood. Each language gives texts until its share of ``most_words`` is reached."""
     rng = np.random.default_rng(7)
     langs = sorted({lang for _, lang in texts})
     k = len(langs)
@@ -119,11 +123,12 @@ def fit(texts: list[tuple[str, str]], epochs: int = 3, batch: int = 48, rate: fl
     )
     if k < 2:
         return field
-    used, texts_used = 0, []
+    used, texts_used = dict.fromkeys(langs, 0), []
     for i in rng.permutation(len(texts)):
-        if used < most_words:
-            texts_used.append(texts[i])
-            used += len(texts[i][0]) // 6
+        text, lang = texts[i]
+        if used[lang] < most_words // k:
+            texts_used.append((text, lang))
+            used[lang] += len(text) // 6
     sequences = _spliced(texts_used, langs, rng)
     squares = [np.full_like(field.grams, 1e-3), np.full_like(field.lexicon, 1e-3), np.full_like(field.moves, 1e-3)]
     for _ in range(epochs):
@@ -138,8 +143,8 @@ def fit(texts: list[tuple[str, str]], epochs: int = 3, batch: int = 48, rate: fl
             step = np.exp(field.moves)
             chains = Chains(at)
             chains.forward(place, emit, step, np.ones(k), keep=True)
-            gamma, expected = chains.backward(place, emit, step)
-            wrong = -gamma
+            gamma, expected = chains.backward(emit, step)
+            wrong = -chains.flat(gamma)
             wrong[np.arange(len(truth)), truth] += 1
             by_word = np.stack([np.bincount(place, wrong[:, j], len(words)) for j in range(k)], axis=1)
             grams, lexicon = features.gradients(by_word)
@@ -168,22 +173,25 @@ def label(texts: list[str], field: Field) -> tuple[np.ndarray, np.ndarray, np.nd
     chains = Chains(at)
     step = np.exp(field.moves)
     chains.forward(place, emit, step, np.ones(k), keep=True)
-    gamma, _ = chains.backward(place, emit, step)
+    gamma, _ = chains.backward(emit, step)
     lettered = np.fromiter((LETTER.search(w) is not None for w in distinct), bool, len(distinct))
-    return gamma, at, lettered[place]
+    return chains.flat(gamma), at, lettered[place]
 
 
-def train(docs: DataFrame, per_lang: int = 250, langs: int = 64) -> Field:
+def train(docs: DataFrame, per_lang: int = 250) -> Field:
     """Fit on texts of the folds that may be learned from."""
     usable = docs.select(
         F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l")
     ).where(F.col("t").isNotNull() & F.col("l").isNotNull() & (crc_mod(F.col("i"), FOLDS) != HELD))
-    counts = usable.groupBy("l").count().orderBy(F.desc("count"), "l").limit(langs).collect()
+    counts = usable.groupBy("l").count().collect()  # a row a language
     if not counts:
         return fit([])
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["l"], min(1.0, per_lang / r["count"]))])
-    draw = F.pmod(F.xxhash64("i"), F.lit(1_000_003)) / 1_000_003.0
-    rows = usable.where(draw < share[F.col("l")]).select("i", "t", "l").collect()
+    draw = usable.withColumn("h", F.xxhash64("i", "t"))
+    draw = draw.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share[F.col("l")])
+    start = (F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - SPAN, F.lit(0)) + 1) + 1).cast("int")
+    spans = draw.select("i", "l", "h", F.substr("t", start, F.lit(SPAN)).alias("t")).distinct()
+    rows = spans.orderBy("h", "l").limit(4 * per_lang * len(counts)).collect()
     return fit([(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["i"] is None, r["i"], r["t"]))])
 
 
@@ -218,19 +226,20 @@ def keep_known(docs: DataFrame, per_lang: int = 250, least: float = 0.4) -> Data
     field = train(docs, per_lang)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("boolean")
-    def known(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out: list[bool] = []
-        batch = pa.record_batch([pa.array([0] * len(text)), pa.array(text.tolist(), pa.string())], ["i", "t"])
-        for _, texts in slices([batch], 3_000_000):
-            if not sent.value.langs:
-                out += [False] * len(texts)
-                continue
-            gamma, at, lettered = label(texts, sent.value)
-            mass = run_sums(gamma * lettered[:, None], at)
-            out += (mass.max(axis=1) >= least * np.maximum(mass.sum(axis=1), 1e-12)).tolist()
-        return pd.Series(out)
-
-    return docs.where(F.col("text").isNotNull() & known(F.col("text").cast("string")))
+    spot = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(spot).cast(pa.string())
+            keep = [np.zeros(0, bool)]
+            for _, texts in slices([pa.record_batch([pa.nulls(len(own)), own], ["i", "t"])], 3_000_000):
+                if not sent.value.langs:
+                    keep.append(np.zeros(len(texts), bool))
+                    continue
+                gamma, at, lettered = label(texts, sent.value)
+                mass = run_sums(gamma * lettered[:, None], at)
+                total = mass.sum(axis=1)
+                keep.append((total > 0) & (mass.max(axis=1) >= least * np.maximum(total, 1e-12)))
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
