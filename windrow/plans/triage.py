@@ -165,6 +165,13 @@ P_PAIR = (
 )
 _EDGES = pair_sql.fingerprints(FILTERED, CFG) + pair_sql.candidates(CFG, sketches=True) + pair_sql.features(CFG, pair_sql.chosen(CFG)) + pair_sql.tiers(CFG)
 P_TIER = _EDGES + f"SELECT tier, {_ROUNDED} FROM edge"
+_TYPES = _EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + pair_sql.clusters(CFG)
+_RUN = _TYPES + pair_sql.decisions(CFG)
+E2E = _RUN + pair_sql.SHADOWS + " UNION ALL ".join(
+    f"SELECT '{name}' AS counter, count(*) AS n FROM {view}" for name, view in (
+        ("filtered", "f"), ("fingerprints", "fp"), ("edges", "edge"), ("types", "types"), ("decisions", "dec"), ("routing", "f"), ("shadows", "sw"),
+    )
+)
 
 
 def g_cluster_type(spark: SparkSession, d: str) -> DataFrame:
@@ -237,6 +244,10 @@ m AS (SELECT entity_a, entity_b FROM e WHERE strong OR firm
 """
 
 
+G_TAIL = _TRADE + """, te AS MATERIALIZED (SELECT entity_a, entity_b, n * 0.3::DOUBLE AS total, CASE WHEN low = 1 THEN 0.5 ELSE 0.0 END AS hard_link, 0.0 AS lineage FROM p)
+""" + pair_sql._reach("tg", "SELECT c_custkey AS node FROM customer", "SELECT entity_a AS x, entity_b AS y FROM te UNION SELECT entity_b, entity_a FROM te") + pair_sql.pruned("tg", "te", 0.5, 16) + "SELECT node, comp AS component FROM g2"
+
+
 def g_components(spark: SparkSession, d: str) -> DataFrame:
     """Customers who buy the same part of the same supplier, by component."""
     links = _links(table(spark, d, "lineitem"), table(spark, d, "orders"))
@@ -263,5 +274,6 @@ ORACLES = {
     "f_lowpass_cascade": F_CASCADE, "f_lowpass_reason_hist": F_HIST, "f_docs_only": F_DOCS, "s_diff_material": S_DIFF,
     "j_hot_bucket_cap": _KEYS + "SELECT kind, key, holders, times FROM z WHERE holders <= CASE WHEN kind = 'file' THEN 300 ELSE 800 END",
     "j_inverted_index_votes": _VOTES + " SELECT entity_id, count(*) AS others, CAST(sum(votes) AS BIGINT) AS votes, max(votes) AS best FROM v GROUP BY 1",
-    "w_topk_candidates": W_TOPK, "g_merge_edges": _TRADE + "SELECT entity_a, entity_b FROM m", "g_components": G_COMPONENTS, "p_pair_score": P_PAIR, "x_fingerprint_cache": X_CACHE, "p_edge_tier": P_TIER, "g_shadow_attach": G_SHADOW,
+    "w_topk_candidates": W_TOPK, "g_merge_edges": _TRADE + "SELECT entity_a, entity_b FROM m", "g_components": G_COMPONENTS, "p_pair_score": P_PAIR, "x_fingerprint_cache": X_CACHE, "p_edge_tier": P_TIER, "g_cluster_type": _TYPES + "SELECT cluster_id, component, n, cluster_type FROM types", "c_canonical_rank": _RUN + "SELECT * FROM dec",
+    "r_routing": _RUN + pair_sql.routing(CFG) + "SELECT * FROM rt", "e2e_triage_profile": E2E, "g_tail_prune": G_TAIL, "g_shadow_attach": G_SHADOW,
 }
