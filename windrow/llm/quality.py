@@ -1,7 +1,7 @@
 """Quality rules: counts of a whole text, a base rule, and boosted trees over document statistics.
 
 The trees learn ``labels.quality`` from at most ``sample`` labelled documents (chosen by a hash of the id) and
-score every document. They are monotonic in the shares of symbols, repeated lines and repeated words (more is
+score every document; of an id that stands more than once one text is learned from. They are monotonic in the shares of symbols, repeated lines and repeated words (more is
 never better).
 
 Cases: null and empty texts have no words and fail the base rule; labels that are null, repeated or without a
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import trees
-from windrow.llm.common import id_text, offsets, slices, windows, word_hashes, words_of
+from windrow.llm.common import id_text, offsets, one_each, slices, windows, word_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **params) ->
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in known] or [(-1,)], "__id long")  # at most `sample` rows
     picked = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
-    rows = picked.mapInArrow(_features, "doc_id long, x array<double>").collect()
+    rows = one_each(picked).mapInArrow(_features, "doc_id long, x array<double>").collect()
     rows = sorted((r["doc_id"], tuple(r["x"])) for r in rows if r["doc_id"] in known)
     x = np.array([r[1] for r in rows]).reshape(len(rows), len(FEATURES))
     return trees.fit(x, np.array([known[r[0]] for r in rows], float), MONOTONE, **params)

@@ -2,18 +2,21 @@
 
 1. Terms: whole words and word beginnings of 3 to 6 letters that labelled documents hold far more often when toxic.
 2. Voters: the terms are dealt into lexicon voters by kind and rank (toxic where one of theirs occurs); patterns vote
-   on shouting, marks and addressed insults; one voter says clean where no term occurs; the given label is a voter
-   like the others.
-3. Label model: EM estimates each voter's accuracies given the hidden class (abstaining included) and, from the
-   residuals, the correlations between voters; correlated voters count less in the posterior.
+   on shouting, marks and addressed insults; one voter says clean where no term occurs. They vote on labelled and on
+   unlabelled documents alike.
+3. Label model: EM estimates each voter's accuracies given the hidden class (abstaining
+   included) and, from the residuals, the correlations between voters; correlated voters count less in the posterior.
+   Given labels only say how often class 1 is and what the voters' first accuracies are; in EM they do not vote.
 4. A logistic regression on term presence and the number of hits learns the posterior labels and scores every text.
 
-Labels are learned from at most ``sample`` rows outside the held-out fold, chosen by a hash of the id; id, source
-and language never enter a score.
+Labels are learned from at most ``sample`` rows outside the held-out fold, and as many other documents outside it vote,
+both chosen by a hash of the id (of an id that stands more than once one text); id, source and language never enter a
+score.
 
 Cases: null and empty texts are scored as texts without a term; null, repeated or unmatched labels are passed over
 (of repeated ones the largest holds); without labels every score is the prior, 0.1; repeated rows give repeated
-results; further columns are ignored.
+results; terms of equal weight are taken by name; very long texts count with all their words; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import crc_mod, id_text, numbered, offsets, slices, words_of
+from windrow.llm.common import crc_mod, id_text, numbered, offsets, one_each, slices, words_of
+from windrow.session import materialise
 
 FOLDS, HELD = 5, 0
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 BEGINNINGS = (3, 4, 5, 6)
 GROUPS = 4
 ADDRESSED = re.compile(r"(?i)\b(?:you|he|she|they|it|this)\b(?:\s+\S+){0,2}\s+(?:is|are)\b")
@@ -115,19 +120,21 @@ def choose_terms(counts: DataFrame, n_docs: int, n_bad: int, most: int) -> list[
     return [r["term"] for r in best.collect()]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1, accuracies [voter, class, vote], correlations. Votes are -1 (abstain), 0 or 1.
 
-    The last voter is the given label, by which the posterior starts."""
+    ``start``: first posteriors of some rows (nan: none), from which the first accuracies are estimated."""
     n, m = votes.shape
     coded = votes + 1
-    posterior = np.where(votes[:, -1] == 1, 0.95, 0.05)
+    given = ~np.isnan(start)
+    q = np.where(given, start, 0.0)
+    weight, posterior = given.astype(float), q
     discount, correlation = np.ones(m), np.eye(m)
     for step in range(rounds):
         theta = np.empty((m, 2, 3))
         for j in range(m):
-            for y, q in ((0, 1 - posterior), (1, posterior)):
-                got = np.bincount(coded[:, j], q, 3) + 0.5
+            for y, w in ((0, weight * (1 - posterior)), (1, weight * posterior)):
+                got = np.bincount(coded[:, j], w, 3) + 0.5
                 theta[j, y] = got / got.sum()
         if step in (5, 15):
             fired = (votes == 1).astype(float)
@@ -139,7 +146,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
         odds = np.log(prior / (1 - prior)) + sum(
             discount[j] * (np.log(theta[j, 1]) - np.log(theta[j, 0]))[coded[:, j]] for j in range(m)
         )
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        posterior, weight = 1 / (1 + np.exp(-np.clip(odds, -30, 30))), np.ones(n)
     return posterior, theta, correlation
 
 
@@ -156,8 +163,8 @@ def logistic(x: np.ndarray, q: np.ndarray, rounds: int = 300, rate: float = 0.5,
     """Full-batch descent with Adagrad steps on soft labels."""
     w, square = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - q) / len(q) + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30).astype(float)))
+        g = x.T @ (p - q).astype(x.dtype) / len(q) + l2 * w
         square += g**2
         w -= rate * g / np.sqrt(square)
     return w
@@ -176,8 +183,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_terms:
     known = {r["__id"]: r["__y"] for r in chosen.collect()}
     if not known:
         return Model({}, np.array([0.0, np.log(0.1 / 0.9)]))
-    small = docs.sparkSession.createDataFrame(list(known.items()), "__id long, __y int")  # at most `sample` rows
-    picked = id_text(docs).join(F.broadcast(small), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y")
+    own = id_text(docs).where(crc_mod(F.col("doc_id"), FOLDS) != HELD).where("doc_id IS NOT NULL")
+    share = min(1.0, 3 * sample / max(docs.count(), 1))
+    drawn = own.select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h")).where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 <= share)
+    drawn = {r["doc_id"]: None for r in drawn.distinct().orderBy("h", "doc_id").limit(sample).collect()}
+    small = docs.sparkSession.createDataFrame(list((drawn | known).items()), "__id long, __y int")  # at most 2 x `sample` rows
+    voting = own.join(F.broadcast(small), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y")
+    voting = materialise(one_each(voting, "__y"), "voting")
+    picked = voting.where("__y IS NOT NULL")
     n_bad = sum(known.values())
     terms = choose_terms(picked.mapInArrow(_term_counts, "term string, n long, bad long"), len(known), n_bad, most_terms)
     index = {t: i for i, t in enumerate(terms)}
@@ -199,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_terms:
                 ["i", "y", "cols", "times", "patterns"],
             )
 
-    rows = picked.mapInArrow(gather, "i long, y int, cols array<long>, times array<long>, patterns array<long>").collect()
+    rows = voting.mapInArrow(gather, "i long, y int, cols array<long>, times array<long>, patterns array<long>").collect()
     rows.sort(key=lambda r: (r["i"], r["cols"]))
     n, k = len(rows), len(terms)
     if not n:
@@ -211,10 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_terms:
     kind = np.array([min(len(term), 7) - 3 if term.endswith("*") else 0 for term in terms], np.int64)
     group = kind * GROUPS + np.arange(k) % GROUPS
     lexicons = [np.where(x[:, :k][:, group == g].any(axis=1), 1, -1) for g in np.unique(group)]
-    y = np.array([r["y"] for r in rows])
-    votes = np.column_stack([*lexicons, np.array([r["patterns"] for r in rows]), np.where(total > 0, -1, 0), y])
-    prior = float(np.clip(y.mean(), 0.01, 0.99))
-    posterior, _, _ = label_model(votes, prior)
+    start = np.array([np.nan if r["y"] is None else float(r["y"]) for r in rows])
+    votes = np.column_stack([*lexicons, np.array([r["patterns"] for r in rows]), np.where(total > 0, -1, 0)])
+    if not np.isfinite(start).any():
+        return Model({}, np.array([0.0, np.log(0.1 / 0.9)]))
+    posterior, _, _ = label_model(votes, start, float(np.clip(np.nanmean(start), 0.01, 0.99)))
     return Model(index, logistic(x, posterior))
 
 
