@@ -10,7 +10,8 @@ quotas: shards above theirs give their last rows, unlinked ones first, to the sh
 holds: counts are at most one apart. The places in the result are ranks from one distributed sort.
 
 Cases: null and empty texts are equal texts; repeated rows are rows of their own; an empty table gives an empty
-result; null ids sort first; further columns are ignored.
+result; null ids sort first; very long texts only weigh by their hash; ties of votes go by a hash; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +46,16 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return joined.withColumn("index", F.col("__s") + F.col("__i")).drop("__p", "__i", "__q", "__s")
 
 
+def met(rows: DataFrame, found: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Rows with what ``found`` (keys, k: their rows) says of their keys, or nulls. Keys that hold more than a 1,024th of
+    the ``n`` rows, of which there are fewer than 1,024, are broadcast, so that no task takes more rows of one key."""
+    heavy = F.broadcast(found.where(F.col("k") > n / 1_024))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(found.where(F.col("k") <= n / 1_024), keys, "left")
+    return rows.join(heavy, keys).unionByName(light)
+
+
 def settle(pieces: DataFrame, quota: list[int]) -> DataFrame:
-    """piece, to: a shard for each of ``pieces`` (piece, k, votes: rows in all and by present shard).
+    """piece, k, to: a shard for each of ``pieces`` (piece, k, votes: rows in all and by present shard).
 
     A wish goes to shards with a 64th of the largest room or more, so that no shard is asked for more than 64 times the
     number of shards times what it has, and some of BUCKETS hash ranges always fit."""
@@ -71,14 +80,14 @@ def settle(pieces: DataFrame, quota: list[int]) -> DataFrame:
             else:
                 full.add(to)
         admitted = F.col("to").isNotNull() & (F.col("bucket") < _switch(F.col("to"), upto))
-        settled.append(wish.where(admitted).select("piece", "to"))
+        settled.append(wish.where(admitted).select("piece", "k", "to"))
         still, turn = wish.where(~admitted).select("piece", "k", "votes"), turn + 1
     rest = []
     for r in wish.select("piece", "k").orderBy(F.desc("k"), "piece").collect():  # fewer than shards: each exceeds all room left
         to = room.index(max(room))
-        rest.append((r["piece"], to))
+        rest.append((r["piece"], r["k"], to))
         room[to] -= r["k"]
-    found = pieces.sparkSession.createDataFrame(rest, "piece long, to int")
+    found = pieces.sparkSession.createDataFrame(rest, "piece long, k long, to int")
     for some in settled:
         found = found.unionByName(some)
     return found
@@ -98,11 +107,11 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     piece = max(1, min(quota) // 2)
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    groups = base.groupBy("g", "size", "text_crc32").agg(F.count("*").alias("k")).where("k > 1")
+    groups = materialise(base.groupBy("g", "size", "text_crc32").agg(F.count("*").alias("k")).where("k > 1"), "groups")
     keys = ["g", "size", "text_crc32"]
     cut = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("k") / piece))
     tagged = materialise(
-        base.join(groups, keys, "left").select(
+        met(base, groups, keys, n).select(
             "doc_id", *keys, F.when(F.col("k").isNotNull(), F.xxhash64(*keys, cut)).alias("piece"), start.alias("shard")
         ),
         "links",
@@ -110,7 +119,7 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     linked = tagged.where("piece IS NOT NULL").select("doc_id", *keys, "piece", "shard")
     votes = F.array(*(F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)))
     pieces = materialise(linked.groupBy("piece").agg(F.count("*").alias("k"), votes.alias("votes")), "pieces")
-    moved = linked.drop("shard").join(settle(pieces, quota), "piece")
+    moved = met(linked.drop("shard"), settle(pieces, quota), ["piece"], n)
     linked = materialise(moved.select("doc_id", *keys, "piece", F.col("to").alias("shard")), "labels")
     alone = tagged.where("piece IS NULL").select("doc_id", *keys, "piece", "shard")
     placed = linked.unionByName(alone).withColumn("single", F.col("piece").isNull().cast("int"))
