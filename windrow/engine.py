@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow import embeddings
+from windrow.functions.text import chunks, norm, salient
 from windrow.hooks import Hooks
 from windrow.operators import candidates, canonical, fingerprint, graph, lowpass, scoring, sketch
 from windrow.session import materialise
 
 _PAIR = (
-    "patch_ids", "hunk_signatures", "changed_files", "title_tokens", "linked_issues", "soft_linked_issues", "text_embedding", "diff_embedding",
+    "patch_ids", "hunk_signatures", "changed_files", "salient", "text_norm", "diff_norm", "linked_issues", "soft_linked_issues", "text_embedding", "diff_embedding",
     "signature", "simhash", "winnow", "additions", "deletions",
 )
 METRICS = (
@@ -81,6 +82,9 @@ def fingerprints(active: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     })
     chunk = F.transform(sketch_chunks(F.col("simhash"), s["simhash_chunk"]), lambda c: F.concat_ws(":", c["idx"].cast("string"), c["part"].cast("string")))
     return out.drop("material").withColumns({
+        "salient": salient(F.col("title_tokens")),
+        "text_norm": norm(F.col("text_embedding")),
+        "diff_norm": norm(F.col("diff_embedding")),
         "bands": F.when(F.size("signature") > 0, sketch.bands(F.col("signature"), n, s["minhash_bands"])).otherwise(words_none),
         "chunks": F.when(F.col("simhash").isNotNull(), chunk).otherwise(words_none),
         "winnow_keys": F.transform("winnow", lambda h: h.cast("string")),
@@ -111,8 +115,6 @@ def cached_fingerprints(active: DataFrame, cfg: dict[str, Any], cache: DataFrame
 
 
 def sketch_chunks(value: Column, width: int) -> Column:
-    from windrow.functions.text import chunks
-
     return chunks(value, sketch.SIMHASH_BITS, max(1, width * sketch.SIMHASH_BITS // 64))
 
 

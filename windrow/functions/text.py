@@ -90,7 +90,11 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Clipped to [-1, 1]; 0 when a vector is empty or zero."""
-    scale = norm(a) * norm(b)
+    return scaled(a, b, norm(a) * norm(b))
+
+
+def scaled(a: Column, b: Column, scale: Column) -> Column:
+    """The cosine from the product of the norms."""
     ratio = F.when(scale > 0, dot(a, b) / F.when(scale > 0, scale).otherwise(1.0)).otherwise(0.0)
     return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)), F.lit(0.0))
 

@@ -12,7 +12,8 @@ from windrow.operators.sketch import SIMHASH_BITS, minhash_similarity
 
 
 def features(pairs: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """``pairs`` holds structs a and b of fingerprint columns; adds every feature and the total."""
+    """``pairs`` holds structs a and b of fingerprint columns, with the norms of vectors and the salient title words made
+    once an entity; adds every feature and the total."""
     s = cfg["similarity"]
     a, b = F.col("a"), F.col("b")
     shared = F.size(F.array_intersect(a["patch_ids"], b["patch_ids"]))
@@ -22,11 +23,11 @@ def features(pairs: DataFrame, cfg: dict[str, Any]) -> DataFrame:
         "lineage": lineage,
         "hunk_overlap": T.jaccard(a["hunk_signatures"], b["hunk_signatures"]),
         "file_overlap": T.jaccard(a["changed_files"], b["changed_files"]),
-        "title_salient": T.jaccard(T.salient(a["title_tokens"]), T.salient(b["title_tokens"])),
+        "title_salient": T.jaccard(a["salient"], b["salient"]),
         "hard_link": F.greatest(T.jaccard(a["linked_issues"], b["linked_issues"]), T.overlap(a["linked_issues"], b["linked_issues"])),
         "soft_link": T.jaccard(a["soft_linked_issues"], b["soft_linked_issues"]),
-        "semantic_text": F.greatest(F.lit(0.0), T.cosine(a["text_embedding"], b["text_embedding"])),
-        "semantic_diff": F.greatest(F.lit(0.0), T.cosine(a["diff_embedding"], b["diff_embedding"])),
+        "semantic_text": F.greatest(F.lit(0.0), T.scaled(a["text_embedding"], b["text_embedding"], a["text_norm"] * b["text_norm"])),
+        "semantic_diff": F.greatest(F.lit(0.0), T.scaled(a["diff_embedding"], b["diff_embedding"], a["diff_norm"] * b["diff_norm"])),
         "minhash": F.coalesce(minhash_similarity(a["signature"], b["signature"]), F.lit(0.0)),
         "simhash": F.greatest(F.lit(0.0), 1 - F.bit_count(F.coalesce(a["simhash"], F.lit(0)).bitwiseXOR(F.coalesce(b["simhash"], F.lit(0)))) / SIMHASH_BITS),
         "winnow": T.jaccard(a["winnow"], b["winnow"]),

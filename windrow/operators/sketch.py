@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.text import MERSENNE, hash28, hash60, permutation, shingles, tokens
@@ -60,12 +60,10 @@ def winnow(df: DataFrame, key: str, words: Column, k: int = 5, window: int = 4)
     cut = df.select(F.col(key).alias("key"), words.alias("w"))
     n = F.size("w")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-    rows = cut.select("key", n.alias("n"), F.posexplode(F.when(n > 0, grams)).alias("i", "g")).withColumn("h", hash60(F.col("g")))
-    order = Window.partitionBy("key").orderBy("i")
-    slid = rows.withColumn("low", F.min("h").over(order.rowsBetween(-(window - 1), 0)))
-    count = F.greatest(F.col("n") - k + 1, F.lit(1))
-    kept = slid.where((F.col("i") >= window - 1) | ((count < window) & (F.col("i") == count - 1)))
-    return kept.select("key", F.col("low").alias("h")).distinct()
+    hashed = cut.where(n > 0).select("key", F.transform(grams, hash60).alias("h"))
+    # The minimum of each window lies in the row itself: no sort, no shuffle.
+    low = F.transform(F.sequence(F.lit(1), F.greatest(F.size("h") - window + 1, F.lit(1))), lambda i: F.array_min(F.slice("h", i, F.lit(window))))
+    return hashed.select("key", F.explode(F.array_distinct(low)).alias("h"))
 
 
 __all__ = ["bands", "minhash", "minhash_similarity", "simhash", "simhash_similarity", "tokens", "winnow"]

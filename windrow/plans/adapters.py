@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.session import table
+from windrow.session import spread, table
 
 #: Entities from documents and labels: attributes follow from the id and the length, texts are whole.
 _COLUMNS = {
@@ -30,7 +30,7 @@ HUNKS = "array<struct<file_path: string, context: string, added_lines: array<str
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").alias("d"), table(spark, sf_dir, "labels").alias("l")
+    docs, labels = spread(table(spark, sf_dir, "documents")).alias("d"), table(spark, sf_dir, "labels").alias("l")
     joined = docs.join(labels, F.expr("d.doc_id = l.doc_id"), "left")
     flat = joined.select(*(F.expr(e).alias(n) for n, e in _COLUMNS.items()))
     i = F.col("number")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import text as T
 from windrow.operators.components import components
-from windrow.session import materialise, table
+from windrow.session import materialise, spread, table
 
 def _canonical(docs: DataFrame, linked: DataFrame) -> DataFrame:
     """Components of the links and the longest document of each."""
@@ -43,7 +43,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def e2e_near_dup_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates(table(spark, d, "documents"))
+    return near_duplicates(spread(table(spark, d, "documents")))
 
 
 _TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+'), lambda x: lower(x))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import text as T
 from windrow.operators import fingerprint, lowpass, sketch
-from windrow.session import table
+from windrow.session import spread, table
 
 
 
@@ -17,7 +17,7 @@ def _md5(words) -> F.Column:  # noqa: ANN001
 
 def s_tokens(spark: SparkSession, d: str) -> DataFrame:
     w = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), _md5(w).alias("digest")
     )
 
@@ -98,7 +98,7 @@ N_MIN = 64
 
 
 def _signatures(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.minhash(table(spark, d, "documents"), "doc_id", T.tokens(F.col("text")), 3, N_MIN)
+    return sketch.minhash(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", T.tokens(F.col("text")), 3, N_MIN)
 
 
 def s_minhash_sig(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ SELECT doc_id, 'band:' || i || ':' || {_H60.format("array_to_string(sig[i * 8 +
 
 
 def _simhashes(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.simhash(table(spark, d, "documents"), "doc_id", T.tokens(F.col("text")))
+    return sketch.simhash(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", T.tokens(F.col("text")))
 
 
 def s_simhash(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +151,7 @@ FROM c a JOIN c b ON a.i = b.i AND a.c = b.c AND a.doc_id < b.doc_id WHERE bit_c
 
 
 def s_winnow(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.winnow(table(spark, d, "documents"), "doc_id", T.tokens(F.col("text"))).select(F.col("key").alias("doc_id"), "h")
+    return sketch.winnow(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", T.tokens(F.col("text"))).select(F.col("key").alias("doc_id"), "h")
 
 
 S_WINNOW = f"""WITH w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
@@ -162,7 +162,7 @@ SELECT DISTINCT doc_id, h FROM m WHERE i >= 3 OR (c < 4 AND i = c - 1)"""
 
 
 def s_hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    out = fingerprint.hash_embedding(table(spark, d, "documents"), "doc_id", "text")
+    out = fingerprint.hash_embedding(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return out.select(F.col("key").alias("doc_id"), F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))
 
 

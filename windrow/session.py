@@ -68,3 +68,13 @@ def release(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
+    """Deal a small table out over all cores before heavy work on its rows.
+
+    A table of a few row groups is read by as many tasks, however many cores there are; one that the planner takes to be
+    smaller than ``below`` bytes is shuffled once for that. Larger ones have row groups enough and stay as they lie."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
