@@ -12,8 +12,8 @@ Members then take their class by the digest, without their text. Where a digest
 texts (the combining sees that, as it compares texts), its members are compared by text instead.
 
 Cases: null or empty texts form one group; of rows that repeat both id and text exactly one stays; a null
-doc_id only stays in a group that has no other id; an empty table gives an empty result; further columns are
-ignored by :func:`classes` and kept by :func:`drop_copies`.
+doc_id only stays in a group that has no other id; very long texts are compared whole; an empty table gives an empty
+result; further columns, whatever their names, are ignored by :func:`classes` and kept by :func:`drop_copies`.
 """
 
 from __future__ import annotations
@@ -77,12 +77,8 @@ def classes(docs: DataFrame, salts: int = 32, digest: Callable[[Column], Column]
 
 def drop_copies(docs: DataFrame, salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest doc_id."""
-    names = docs.columns
-    tagged = docs.withColumn(
-        "__digest", F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
-    ).withColumn("__id", F.col("doc_id").cast("long"))
-    keep = classes(docs, salts).where("kept").select(F.col("text_sha256").alias("__d"), F.col("keep_id").alias("__k"))
-    stays = tagged.join(
-        keep, (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__k")), "left_semi"
-    )
-    return stays.dropDuplicates(["__digest", "__id"]).select(*names)
+    norm = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    tagged = docs.select(F.sha2(norm, 256).alias("digest"), F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    keep = classes(docs, salts).where("kept").select(F.col("text_sha256").alias("sha"), F.col("keep_id").alias("stays"))
+    stays = tagged.join(keep, (F.col("digest") == F.col("sha")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    return stays.dropDuplicates(["digest", "id"]).select("row.*")

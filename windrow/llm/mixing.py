@@ -14,8 +14,8 @@
 Cases: null and empty texts have no tokens and rate as texts without statistics do; labels that are null, repeated or
 unmatched are passed over (of repeated ones the worst holds); without labels all posteriors are those of a domain
 chosen evenly; a domain without any mass cannot meet its target and the others' targets hold; repeated rows give
-repeated results; an empty table gives an empty result; further columns are ignored by :func:`rates` and kept by
-:func:`thin`.
+repeated results; words of equal weight are taken by name; very long texts count whole; an empty table gives an empty
+result; further columns are ignored by :func:`rates` and kept by :func:`thin`.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import id_text
+from windrow.llm.common import id_text, one_each
 from windrow.session import materialise
 
 DOMAINS = ("clean", "low", "toxic")
@@ -73,6 +73,8 @@ class Plan:
     tables: np.ndarray
     prior: np.ndarray
     moves: list[np.ndarray]
+    #: The domain whose likely documents all stay at rate 1, with no rate above it; None: rates are only nonnegative.
+    whole: int | None = None
 
     def posterior(self, bins: Column) -> Column:
         """The posteriors as an array. Each step binds its input once, so no statistic is computed again."""
@@ -96,7 +98,9 @@ class Plan:
         r = F.lit(1.0)
         for move in self.moves:
             r = F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, (p * float(m) for p, m in zip(posterior, move, strict=True)), r))
-        return r
+            if self.whole is not None:
+                r = F.least(F.lit(1.0), r)
+        return r if self.whole is None else F.when(posterior[self.whole] >= 0.5, 1.0).otherwise(r)
 
 
 def _labelled(labels: DataFrame, sample: int) -> DataFrame:
@@ -114,6 +118,7 @@ def _labelled(labels: DataFrame, sample: int) -> DataFrame:
 
 def _word_list(picked: DataFrame, most: int = 200) -> list[str]:
     """Words that at least three toxic documents hold, at ten times the rate of the others."""
+    picked = one_each(picked, "__d")
     word = F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT))).alias("word")
     counts = picked.select((F.col("__d") == 2).cast("int").alias("bad"), word).groupBy("word").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
     sums = picked.agg(F.count("*").alias("n"), F.sum((F.col("__d") == 2).cast("int")).alias("bad")).first()
@@ -130,11 +135,12 @@ def fit(
     budget: float | None = None,
     whole: str | None = None,
     sample: int = 20_000,
-    rounds: int = 8,
+    rounds: int = 12,
 ) -> tuple[Plan, DataFrame]:
     """The plan, and the table of doc_id, n_tokens and posteriors (p) that it was fitted on.
 
-    The budget in tokens is the corpus itself, or ``budget``, or what lets the domain ``whole`` in at rate 1."""
+    The budget in tokens is the corpus itself, or ``budget``. With a domain ``whole`` the rates are projected between 0
+    and 1, those of documents likelier of it than not onto 1, and the other domains' targets follow its total."""
     text = F.coalesce("text", F.lit(""))
     picked_ids = _labelled(labels, sample)
     picked = id_text(docs).join(F.broadcast(picked_ids), F.col("doc_id") == F.col("__id")).select("doc_id", text.alias("text"), "__d")
@@ -142,12 +148,13 @@ def fit(
     table = materialise(
         id_text(docs).select("doc_id", F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"), _bins(text, words).alias("bins")), "bins"
     )
-    seen = table.join(F.broadcast(picked_ids), F.col("doc_id") == F.col("__id")).select("__d", F.posexplode("bins").alias("j", "bin"))
+    seen = table.join(F.broadcast(picked_ids), F.col("doc_id") == F.col("__id")).select("doc_id", "__d", "bins").distinct()
+    seen = seen.select("__d", F.posexplode("bins").alias("j", "bin"))
     counts = np.ones((STATISTICS, BINS, len(DOMAINS)))
     for r in seen.groupBy("j", "bin", "__d").count().collect():
         counts[r["j"], r["bin"], r["__d"]] += r["count"]
     prior = counts[0].sum(axis=0) - BINS + 1
-    plan = Plan(words, np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior / prior.sum()), [])
+    plan = Plan(words, np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(prior / prior.sum()), [], DOMAINS.index(whole) if whole else None)
 
     k = len(DOMAINS)
     want = np.array([weights.get(d, 0.0) for d in DOMAINS])
@@ -156,17 +163,21 @@ def fit(
     tokens = F.col("n_tokens").cast("double")
     sums = table.agg(*(F.sum(tokens * p[d]).alias(f"s{d}") for d in range(k))).first()
     natural = np.array([sums[f"s{d}"] or 0.0 for d in range(k)])
-    total = budget or (natural[DOMAINS.index(whole)] / max(want[DOMAINS.index(whole)] / want.sum(), 1e-9) if whole else natural.sum())
+    total = budget or natural.sum()
     target = want / want.sum() * total
     for _ in range(rounds):
         r = plan.rate(p)
-        active = (r > 0).cast("double")
+        active = (r > 0) if whole is None else (r > 0) & (p[plan.whole] < 0.5)
+        active = active.cast("double")
         row = table.agg(
             *(F.sum(r * tokens * p[d]).alias(f"s{d}") for d in range(k)),
             *(F.sum(active * tokens * p[d] * p[e]).alias(f"g{d}{e}") for d in range(k) for e in range(d, k)),
         ).first()
         now = np.array([row[f"s{d}"] or 0.0 for d in range(k)])
         gram = np.array([[row[f"g{min(d, e)}{max(d, e)}"] or 0.0 for e in range(k)] for d in range(k)])
+        if whole is not None:
+            total = now[plan.whole] / max(want[plan.whole] / want.sum(), 1e-9)
+            target = want / want.sum() * total
         gap = target - now
         if np.abs(gap).max() <= 1e-7 * max(total, 1.0):
             break
@@ -190,13 +201,9 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], **param
 
 
 def thin(docs: DataFrame, labels: DataFrame, weights: dict[str, float], whole: str = "clean", **params) -> DataFrame:
-    """The rows of ``docs`` that have a copy at a budget that lets ``whole`` in at rate 1; likelier ``whole`` than not: stays."""
+    """The rows of ``docs`` that have a copy at rates between 0 and 1, at which documents likelier ``whole`` than not stay."""
     plan, _ = fit(docs, labels, weights, whole=whole, **params)
     share = plan.posterior(_bins(F.coalesce(F.col("text").cast("string"), F.lit("")), plan.words))
     draw = _draw(F.col("doc_id").cast("long"))
 
-    def stays(p: Column) -> Column:
-        each = [p[d] for d in range(len(DOMAINS))]
-        return (each[DOMAINS.index(whole)] >= 0.5) | (F.floor(plan.rate(each) + draw) >= 1)
-
-    return docs.where(F.exists(F.array(share), stays))
+    return docs.where(F.exists(F.array(share), lambda p: F.floor(plan.rate([p[d] for d in range(len(DOMAINS))]) + draw) >= 1))
