@@ -14,7 +14,9 @@
 
 Cases: a text with fewer words than the width is one shingle of all its words; texts without words (null, empty)
 have the empty set and link with nothing; equal texts link with each other; repeated rows are each returned; a null
-doc_id takes part under no id and is returned with component null; further columns are ignored.
+doc_id takes part under no id and is returned with component null; of a doc_id with several texts each row has its own
+set and group; very long texts are taken whole; ties of order go by hash;
+further columns, whatever their names, are ignored by :func:`groups` and kept by :func:`drop_near`.
 """
 
 from __future__ import annotations
@@ -129,13 +131,14 @@ def _allows(na, nb, percent: int):  # noqa: ANN001, ANN202
 
 
 def _tile_pairs(percent: int):  # noqa: ANN202
-    """Rows token, rep, n, pos of whole tiles -> pairs of small tiles; members of large ones (b null)."""
+    """Rows token, rep, size (n above 32 bits of pos) of whole tiles -> pairs of small tiles; members of large ones (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy() for c in range(4)] for b in batches if b.num_rows]
+        parts = [[b.column(c).to_numpy() for c in range(3)] for b in batches if b.num_rows]
         if not parts:
             return
-        token, rep, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, rep, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        n, pos = size >> 32, size & 0xFFFFFFFF
         order = np.lexsort((rep, n, token))
         token, rep, n, pos = token[order], rep[order], n[order], pos[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -244,17 +247,18 @@ def connecting(arrays: list[np.ndarray], ia: np.ndarray, ib: np.ndarray, need: n
 
 def _batched(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b, key: pairs in batches of bounded size, those around one set together; and the sets of each batch."""
-    batches = max(12, pairs.count() // BATCH_PAIRS + 1)
+    n = pairs.count()
+    batches = max(12, n // BATCH_PAIRS + 1)
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
     label = ends.groupBy("rep").agg(F.min("o").alias("m")).select("rep", F.least("rep", "m").alias("label"))
     sized = pairs.join(label.withColumnRenamed("rep", "a"), "a").select("a", "b", "label")
-    weight = sized.groupBy("label").agg(F.ceil(F.count("*") / BATCH_PAIRS).alias("salts"))
-    keyed = materialise(
-        sized.join(weight, "label").select(
-            "a", "b", F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(batches)).alias("key")
-        ),
-        "batches",
-    )
+    weight = sized.groupBy("label").agg(F.count("*").alias("k"))
+    # Labels of more than a 1,024th of the pairs, fewer than 1,024, are broadcast, so that no task takes all pairs of one.
+    heavy = F.broadcast(weight.where(F.col("k") > n / 1_024))
+    light = sized.join(heavy, "label", "left_anti").join(weight.where(F.col("k") <= n / 1_024), "label")
+    salted = sized.join(heavy, "label").unionByName(light).withColumn("salts", F.ceil(F.col("k") / BATCH_PAIRS))
+    key = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(batches))
+    keyed = materialise(salted.select("a", "b", key.alias("key")), "batches")
     members = keyed.select("key", F.col("a").alias("rep")).unionByName(keyed.select("key", F.col("b").alias("rep"))).distinct()
     return keyed, members
 
@@ -299,13 +303,17 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     hot = frequent_shingles(docs, width)
     whole = materialise(_classes(docs, width, percent, hot), "prefixes")
     table = materialise(whole.select("doc_id", "n", "d1", "d2"), "digests")
+    lone = table.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    digests = table.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)))
+    if not digests.where("min_d1 <> max_d1 OR min_d2 <> max_d2").isEmpty():
+        return _by_rows(docs, width, percent).unionByName(table.where("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     named = table.where("doc_id IS NOT NULL AND n > 0")
     same = whole.where("doc_id IS NOT NULL AND n > 0").groupBy("d1", "d2", "n")
     classes = same.agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("own", "prefix", "bits")))
     classes = materialise(classes.select("rep", "n", "own", "prefix", "bits"), "classes")
     release(whole)
     entries = classes.select("rep", "n", "own", F.posexplode("prefix").alias("pos", "token"))
-    rare = entries.where("pos < own").select("token", "rep", "n", F.col("pos").cast("long").alias("pos"))
+    rare = entries.where("pos < own").select("token", "rep", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("size"))
     tiles = materialise(rare.repartition("token").mapInArrow(_tile_pairs(percent), "a long, b long, token long, n long, pos long"), "tiles")
     big = tiles.where("b IS NULL").select("token", F.col("a").alias("rep"), "n", "pos", F.lit(1 << 30).cast("long").alias("own"))
     hot_entries = entries.where("pos >= own").select("token", "rep", "n", F.col("pos").cast("long").alias("pos"), F.col("own").cast("long").alias("own"))
@@ -345,13 +353,22 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     reps = by_set.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     found = reps.join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     inside = by_set.join(found, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    rest = table.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return inside.unionByName(rest)
+    return inside.unionByName(lone)
+
+
+def _by_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``groups`` of a table in which one doc_id has several texts: rows are numbered and grouped by their numbers, and the
+    smallest doc_id of a group names it."""
+    rows = id_text(docs).where("doc_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(rows, "rows")
+    found = groups(rows.select(F.col("row").alias("doc_id"), "text"), width, percent)
+    found = materialise(found.join(rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("own")), "doc_id"), "found")
+    first = found.groupBy("component_id").agg(F.min("own").alias("first"))
+    return found.join(first, "component_id").select(F.col("own").alias("doc_id"), "n_shingles", F.col("first").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest doc_id."""
-    names = docs.columns
-    stays = groups(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__k")).distinct()
-    tagged = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    return tagged.join(stays, F.col("__id").eqNullSafe(F.col("__k")), "left_semi").select(*names)
+    stays = groups(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
+    tagged = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    return tagged.join(stays, F.col("id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")
