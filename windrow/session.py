@@ -34,6 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="windrow-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
