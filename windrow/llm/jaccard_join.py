@@ -62,7 +62,7 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _local_frequent(width: int, least: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, 12_000_000):
+        for _, texts in slices(batches, 6_000_000):
             keys, _ = shingle_sets(texts, width)
             found, n = np.unique(keys, return_counts=True)
             often = n >= least

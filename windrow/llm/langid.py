@@ -201,7 +201,7 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(sent.value.langs, object)
-        for ids, texts in slices(batches, 3_000_000):
+        for ids, texts in slices(batches, 1_000_000):
             out, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if len(langs):
                 gamma, at, lettered = label(texts, sent.value)
@@ -232,7 +232,7 @@ def keep_known(docs: DataFrame, per_lang: int = 250, least: float = 0.4) -> Data
         for batch in batches:
             own = batch.column(spot).cast(pa.string())
             keep = [np.zeros(0, bool)]
-            for _, texts in slices([pa.record_batch([pa.nulls(len(own)), own], ["i", "t"])], 3_000_000):
+            for _, texts in slices([pa.record_batch([pa.nulls(len(own)), own], ["i", "t"])], 1_000_000):
                 if not sent.value.langs:
                     keep.append(np.zeros(len(texts), bool))
                     continue

@@ -135,7 +135,7 @@ def fit(
     budget: float | None = None,
     whole: str | None = None,
     sample: int = 20_000,
-    rounds: int = 12,
+    rounds: int = 8,
 ) -> tuple[Plan, DataFrame]:
     """The plan, and the table of doc_id, n_tokens and posteriors (p) that it was fitted on.
 
@@ -164,7 +164,8 @@ def fit(
     sums = table.agg(*(F.sum(tokens * p[d]).alias(f"s{d}") for d in range(k))).first()
     natural = np.array([sums[f"s{d}"] or 0.0 for d in range(k)])
     total = budget or natural.sum()
-    target = want / want.sum() * total
+    target, before = want / want.sum() * total, np.inf
+    free = [d for d in range(k) if d != plan.whole]  # the domains whose totals the rates can move
     for _ in range(rounds):
         r = plan.rate(p)
         active = (r > 0) if whole is None else (r > 0) & (p[plan.whole] < 0.5)
@@ -179,9 +180,15 @@ def fit(
             total = now[plan.whole] / max(want[plan.whole] / want.sum(), 1e-9)
             target = want / want.sum() * total
         gap = target - now
-        if np.abs(gap).max() <= 1e-7 * max(total, 1.0):
+        missed = np.abs(gap[free]).max()
+        if whole is not None and missed > 0.99 * before:  # what is left lies beyond the bounds of the rates
+            plan.moves.pop()
             break
-        plan.moves.append(np.linalg.solve(gram + 1e-9 * max(np.trace(gram), 1.0) * np.eye(k), gap))
+        if missed <= 1e-7 * max(total, 1.0):
+            break
+        before, move, inner = missed, np.zeros(k), gram[np.ix_(free, free)]
+        move[free] = np.linalg.solve(inner + 1e-9 * max(np.trace(inner), 1.0) * np.eye(len(free)), gap[free])
+        plan.moves.append(move)
     return plan, table
 
 

@@ -35,7 +35,7 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds while words are cut; no valid text holds it.
 LITERAL = "\udc01"
 #: Words of fewer characters are segmented together, so many at a time.
-LONG, TOGETHER = 200, 60_000
+LONG, TOGETHER = 200, 15_000
 #: Scores are whole numbers of this part of 1, so that sums are exact in any order and ties are ties.
 UNIT = 1_000_000_000
 #: Below any score; the loss of a word without a second segmentation.
@@ -51,7 +51,7 @@ def default_model() -> str:
 class Lattice:
     """Pieces and scores of a model, and N-best search over words."""
 
-    def __init__(self, path: str, n_best: int = 4, most: int = 600_000) -> None:
+    def __init__(self, path: str, n_best: int = 4, most: int = 200_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -461,7 +461,7 @@ def segment(docs: DataFrame, path: str | None = None, n_best: int = 4) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, n_best)
-        for names, texts in slices(batches, 2_000_000):
+        for names, texts in slices(batches, 1_000_000):
             ids, at, found = model.plans(texts)
             ids = ids.astype("<i4", copy=False)
             scores, crcs = [], []
@@ -476,5 +476,6 @@ def segment(docs: DataFrame, path: str | None = None, n_best: int = 4) -> DataFr
             best = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             columns = [pa.array(names, pa.int64()), best, pa.array([s[0] for s in scores], pa.float64()), pa.array(scores, kind.field("scores").type)]
             yield pa.record_batch([*columns, pa.array(crcs, pa.int64()), pa.array(same)], schema=kind)
+        lattice(path, n_best)._forget()  # the worker lives on, and other stages need its memory
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>, score double, scores array<double>, nbest_crc32 long, round_trip boolean")
