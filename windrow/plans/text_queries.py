@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.functions import text as T
 from windrow.operators import fingerprint, lowpass, sketch
-from windrow.session import spread, table
+from windrow.session import materialise, spread, table
 
 
 
@@ -130,14 +132,35 @@ def s_simhash(spark: SparkSession, d: str) -> DataFrame:
     return _simhashes(spark, d).select(F.col("key").alias("doc_id"), "simhash")
 
 
+def hamming_pairs(rows: DataFrame, most: int = 3, parts: int = 6) -> DataFrame:
+    """doc_a, doc_b, distance of rows (key, simhash) that differ in ``most`` bits or fewer.
+
+    Equal values are one class. Of ``parts`` chunks such values agree in all but ``most``: classes meet in each choice of so
+    many chunks, which are far rarer than one, and a pair counts under the first choice that it agrees in."""
+    width = sketch.SIMHASH_BITS // parts
+    picks = list(combinations(range(parts), parts - most))
+    masks = [sum(((1 << width) - 1) << (width * i) for i in pick) for pick in picks]
+    rows = materialise(rows.where("key IS NOT NULL").distinct(), "simhashes")
+    values = rows.select("simhash").distinct()
+    agreed = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.col("simhash").bitwiseAND(m).alias("c")) for g, m in enumerate(masks)))).alias("x")
+    keyed = values.select("simhash", agreed).select("simhash", "x.g", "x.c")
+    met = keyed.join(keyed.select(F.col("simhash").alias("v"), "g", "c"), ["g", "c"]).where("simhash < v")
+    met = met.withColumn("d", T.hamming(F.col("simhash"), F.col("v")).cast("long")).where(F.col("d") <= most)
+    apart, first = F.col("simhash").bitwiseXOR(F.col("v")), F.lit(len(masks))
+    for g in reversed(range(len(masks))):
+        first = F.when(apart.bitwiseAND(masks[g]) == 0, g).otherwise(first)
+    near = materialise(met.where(first == F.col("g")).select("simhash", "v", "d"), "near")
+    b = rows.select(F.col("key").alias("other"), F.col("simhash").alias("v"))
+    found = rows.join(near, "simhash").join(b, "v").select(F.least("key", "other").alias("doc_a"), F.greatest("key", "other").alias("doc_b"), F.col("d").alias("distance"))
+    same = rows.join(b, F.col("simhash") == F.col("v")).where("key < other")
+    return found.unionByName(same.select(F.col("key").alias("doc_a"), F.col("other").alias("doc_b"), F.lit(0).cast("long").alias("distance")))
+
+
 def s_simhash_hamming(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that agree in a 15-bit chunk of their SimHash, and how many bits differ in all: at most three, which four
-    chunks cannot miss."""
-    chunk = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftright("simhash", 15 * i).bitwiseAND(32767).alias("c")) for i in range(4)))).alias("x")
-    rows = _simhashes(spark, d).select("key", "simhash", chunk).select("key", "simhash", "x.i", "x.c")
-    other = rows.select(F.col("key").alias("other"), F.col("simhash").alias("simhash_b"), "i", "c")
-    met = rows.join(other, ["i", "c"]).where("key < other").select("key", "other", T.hamming(F.col("simhash"), F.col("simhash_b")).cast("long").alias("distance"))
-    return met.where("distance <= 3").distinct().select(F.col("key").alias("doc_a"), F.col("other").alias("doc_b"), "distance")
+    """Documents whose SimHashes differ in at most three bits. Of a repeated doc_id all texts make one SimHash."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    once = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return hamming_pairs(sketch.simhash_rows(docs, "doc_id", T.tokens(F.col("text"))) if once else _simhashes(spark, d))
 
 
 _BITS = " + ".join(f"CASE WHEN sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) >= 0 THEN {1 << i} ELSE 0 END" for i in range(60))
