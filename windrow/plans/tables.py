@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.operators import reports, serving, store
+from windrow.operators import nearest, reports, serving, store
 from windrow.plans.adapters import ENTITIES, entities
 from windrow.session import materialise, shared_dir, table
 from windrow.streaming.ingest import VersionedTable, ingest
@@ -253,7 +253,7 @@ q AS (SELECT vec_id, (px - x0) / greatest(x1 - x0, 1e-9) * 2 - 1 AS x, (py - y0)
 
 def v_grid_knn(spark: SparkSession, d: str) -> DataFrame:
     points = materialise(_points(spark, d).select("key", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), "grid")
-    out = serving.nearest(serving.near(points, 0.12), 4, 0.12)
+    out = nearest.nearest(points, 4, 0.12)
     return out.select("key", "other", F.col("rank").cast("long").alias("rank"), F.round("weight", 5).alias("weight"))
 
 
