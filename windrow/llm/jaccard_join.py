@@ -6,7 +6,8 @@
    list of frequent shingles only shapes that order: an incomplete list costs time, never a link.
 3. Tiles are banded by size: only sets whose sizes allow the threshold are paired. Small tiles pair within one task.
    Large tiles first pair each class with the tile's leader of its band and the band below; after these links are
-   known, classes outside a tile's main component are paired with the others of the tile in other components.
+   known, classes outside a tile's main component are paired with the others of the tile in other components, in
+   squares of bounded size and mostly once, however many tiles two classes share.
 4. Pairs are checked in batches to which each set is sent once: first only bitmaps of hashed shingles, whose counts of
    bits bound the overlap from above; then, for the pairs left, the sets themselves, which are intersected exactly
    unless the pair is already connected.
@@ -26,7 +27,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import id_text, lower_az, mix64, numbered, offsets, slices, windows, word_hashes, words_of
@@ -35,6 +36,8 @@ from windrow.session import materialise, release
 
 SMALL_TILE = 128
 BATCH_PAIRS = 6_000
+#: Members of a large tile that meet in one task, and the first open tiles of each that say where a pair met before.
+SQUARE, EARLY = 2_000, 8
 
 
 def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,6 +301,59 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     return links
 
 
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members of large tiles in different components, each from the first tile that the two share, as far
+    as their EARLY first open tiles tell. A tile is dealt out in squares of at most SQUARE members by SQUARE that are
+    outside its main component, so that no task takes a whole tile and none of its pairs is a row before it is checked."""
+    counts = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
+    main = counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("x"), F.count("*").alias("parts"), F.sum("k").alias("all"))
+    main = main.where("parts > 1").select("token", F.col("x.component").alias("main"), *(F.ceil(c / SQUARE).alias(n) for c, n in ((F.col("all"), "rows"), (F.col("all") - F.col("x.k"), "columns"))))
+    open_tiles = materialise(placed.join(main, "token"), "open")
+    seen = F.filter("early", lambda e: e["pos"] < F.col("pos"))
+    told = open_tiles.join(_first_open(open_tiles), "rep").select("token", "rep", "n", "pos", "component", (F.col("component") != F.col("main")).alias("out"), seen["token"].alias("early"), "rows", "columns")
+    told = materialise(told, "told")
+    deal = lambda c: F.pmod(F.xxhash64("rep"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    kept = ("rep", "n", "pos", "component", "out", "early")
+    members = told.select("token", deal("rows").alias("i"), each("columns").alias("j"), *kept)
+    outside = told.where("out").select(F.col("token").alias("t"), each("rows").alias("k"), deal("columns").alias("l"), *(F.col(c).alias(f"r_{c}") for c in kept))
+
+    def read(t: pa.Table, pad: int) -> tuple[np.ndarray, ...]:
+        rest, lists = t.columns[3:8], t.columns[8].combine_chunks()
+        many = lists.value_lengths().to_numpy()
+        early = np.full((t.num_rows, EARLY), pad)
+        early[np.arange(EARLY) < many[:, None]] = lists.flatten().to_numpy()
+        return *(c.to_numpy() for c in rest), early
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        r, rn, rp, rc, _, re = read(left, -1)
+        m, n, pos, c, out, e = read(right, -2)
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(r), 256):
+            part = slice(at, at + 256)
+            x, y = rn[part, None], n[None, :]
+            ok = (rc[part, None] != c) & (~out | (m < r[part, None])) & _allows(np.minimum(x, y), np.maximum(x, y), percent)
+            ok &= np.minimum(x - rp[part, None], y - pos) >= -(-percent * (x + y) // (100 + percent))
+            i, j = np.nonzero(ok)
+            i += at
+            for spot in range(0, len(i), 100_000):
+                u, v = i[spot : spot + 100_000], j[spot : spot + 100_000]
+                fresh = ~(re[u][:, :, None] == e[v][:, None, :]).any(axis=(1, 2))
+                a, b = r[u[fresh]], m[v[fresh]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        both = np.concatenate(found)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return outside.groupBy("t", "k", "l").cogroup(members.groupBy("token", "i", "j")).applyInArrow(pairs, "a long, b long").distinct()
+
+
+def _first_open(open_tiles: DataFrame) -> DataFrame:
+    """rep, early: the tokens of its first EARLY open tiles, with their places, by place."""
+    order = Window.partitionBy("rep").orderBy("pos")
+    few = open_tiles.select("rep", "pos", "token", F.row_number().over(order).alias("k")).where(F.col("k") <= EARLY)
+    return few.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("early"))
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     hot = frequent_shingles(docs, width)
@@ -330,21 +386,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     if not large.isEmpty():
         comp = materialise(components(links), "comp")
         placed = large.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        counts = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
-        main = counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("x"), F.count("*").alias("parts"))
-        main = main.where("parts > 1").select("token", F.col("x.component").alias("main"))
-        open_tiles = materialise(placed.join(main, "token"), "open")
-        outside = open_tiles.where("component <> main").select("token", F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("pos").alias("rp"), F.col("component").alias("rc"))
-        need = F.ceil(percent * (F.col("n") + F.col("rn")) / (100.0 + percent) - 1e-9)
-        more = (
-            open_tiles.join(outside, "token")
-            .where(F.col("component") != F.col("rc"))
-            .where(percent * F.greatest("n", "rn") <= 100 * F.least("n", "rn"))
-            .where(F.least(F.col("n") - F.col("pos"), F.col("rn") - F.col("rp")) >= need)
-            .select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
-            .distinct()
-        )
-        more = materialise(more, "more")
+        more = materialise(_open_pairs(placed, percent), "more")
         if not more.isEmpty():
             links = links.unionByName(verified(docs, classes, more, width, percent))
     comp = materialise(components(links), "comp")
