@@ -3,6 +3,7 @@
 import random
 import re
 
+from windrow.operators import jaccard_join
 from windrow.plans import near_dup, triage
 
 
@@ -50,3 +51,18 @@ def test_components_of_all_parts(spark, tmp_path):
     links = [(a, b) for a, p, s in held for b, q, t in held if (p, s) == (q, t)]
     got = triage.g_components(spark, str(tmp_path)).collect()
     assert {r["customer"]: r["component"] for r in got} == roots(links) and len(got) == len({a for a, _, _ in held})
+
+
+def test_near_duplicates_shuffle_no_shingles(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(9_999)}" for _ in range(200)) for _ in range(60)]
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    rows += [(70, texts[3], 1), (70, "a b c d e f", 2), (71, texts[3] + " a! b", 3), (None, texts[3], 4), (72, texts[4][:-3] + "\0x y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    plans, real = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    got = [(r["doc_id"], r["component"], r["is_canonical"]) for r in near_dup.near_duplicates(docs).collect()]
+    assert len(got) == len(rows) and (None, None, True) in got
+    parts = {i: i for i in range(60)} | {70: 3, 71: 3, 72: 4}
+    assert {i: c for i, c, _ in got if i is not None} == parts
+    assert plans and not any("Generate explode" in p and "text" in p for p in plans)

@@ -5,41 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.functions import text as T
-from windrow.operators.components import components
+from windrow.operators import jaccard_join
 from windrow.session import materialise, spread, table
 
-def _canonical(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Components of the links and the longest document of each."""
-    grouped = components(linked, "doc_id", "other")
-    placed = docs.select("doc_id", "n_chars").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+
+#: Between the texts of one doc_id, whose shingles make one set; in texts it becomes a blank, which it is to words.
+BETWEEN = "\0"
+
+
+def _canonical(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The component of each document and whether it is the longest document of it."""
+    placed = docs.select("doc_id", "n_chars").join(grouped, "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     order = Window.partitionBy("component").orderBy(F.desc("n_chars"), "doc_id")
     return placed.select("doc_id", "component", "n_chars", (F.row_number().over(order) == 1).alias("is_canonical"))
 
 
+def _one_each(docs: DataFrame) -> DataFrame:
+    """doc_id, text: one row an id; repeated ids have all their texts, with BETWEEN between them."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(BETWEEN), F.lit(" "))
+    cut = docs.where("doc_id IS NOT NULL").select("doc_id", text.alias("text"))
+    repeated = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return cut
+    joined = cut.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), BETWEEN).alias("text"))
+    return cut.join(repeated, "doc_id", "left_anti").unionByName(materialise(joined, "joined"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, component, n_chars, is_canonical over all shingles, none capped. Equal sets are one class; classes that share
-    enough meet in a shingle of both their prefixes (rarest first), and pairs are checked by their whole sets. The longest
-    document of each component is canonical."""
-    cut = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
-    hashed = cut.select("doc_id", F.explode(T.shingles(F.col("w"), k)).alias("s")).select("doc_id", T.hash60(F.col("s")).alias("h"))
-    sets = hashed.groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
-    sets = materialise(sets.withColumn("set", F.sha2(F.array_join(F.transform("hs", lambda h: h.cast("string")), ","), 256)), "sets")
-    classes = materialise(sets.groupBy("set").agg(F.min("doc_id").alias("a"), F.first("hs").alias("hs")), "classes")
-    same = sets.join(classes.select("set", "a"), "set").select("doc_id", F.col("a").alias("other"))
-    keys = classes.select("a", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    held = keys.join(keys.groupBy("h").agg(F.count("*").alias("holders")), "h")
-    place = F.row_number().over(Window.partitionBy("a").orderBy("holders", "h"))
-    need = F.floor((F.col("n") * percent + 99) / 100)
-    prefix = held.withColumn("place", place).where((F.col("place") <= F.col("n") - need + 1) & (F.col("holders") > 1))
-    prefix = materialise(prefix.select("a", "n", "h"), "prefix")
-    met = prefix.join(prefix.select(F.col("a").alias("b"), F.col("n").alias("m"), "h"), "h").where("a < b")
-    met = met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b").distinct()
-    met = met.join(classes.select("a", "hs"), "a").join(classes.select(F.col("a").alias("b"), F.col("hs").alias("gs")), "b")
-    both = F.size(F.array_intersect("hs", "gs"))
-    linked = met.where(both * 100 >= (F.size("hs") + F.size("gs") - both) * percent)
-    return _canonical(docs, same.unionByName(linked.select(F.col("a").alias("doc_id"), F.col("b").alias("other"))))
+    """doc_id, component, n_chars, is_canonical over all shingles, none capped, by the join of
+    :mod:`windrow.operators.jaccard_join`: only digests, prefixes and bitmaps are shuffled and stored, and the whole sets of
+    the pairs that these leave. The longest document of each component is canonical."""
+    grouped = jaccard_join.groups(_one_each(docs), k, percent, BETWEEN)
+    return _canonical(docs, grouped.select("doc_id", F.col("component_id").alias("component")))
 
 
 def e2e_near_dup_pipeline(spark: SparkSession, d: str) -> DataFrame:
