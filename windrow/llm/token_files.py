@@ -308,11 +308,6 @@ def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[edge], np.diff(np.append(edge, len(ordered)))
 
 
-def _twins(seq: np.ndarray, spots: np.ndarray, end: int) -> np.ndarray:
-    """Of these places (in order) those where a pair of one id begins."""
-    return spots[(seq[spots] == seq[spots + 1]) & (seq[spots] != end)]
-
-
 def _apart(same: np.ndarray) -> np.ndarray:
     """Of the places of pairs of one id every second one of a run, from its start, so that none overlaps another."""
     if not len(same):
@@ -378,14 +373,20 @@ def compress(ids: np.ndarray, end: int, base: int, least: int = 2, share: float
     def pair(at: np.ndarray) -> np.ndarray:
         return (seq[at] << WIDE) + seq[at + 1]
 
-    def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = codes >> WIDE, codes & (1 << WIDE) - 1
-        found, n = _tally(codes[(a != end) & (b != end) & (a != b)])
-        return found[n >= least], n[n >= least]
-
-    every = np.arange(max(0, len(seq) - 1))
-    known, times = counted(pair(every))
-    twin, made = _twins(seq, every, end), 0
+    def counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of two ids that stand ``least`` times, how often, and where a pair of one id is. Sides may be changed."""
+        inner, same = a != end, a == b
+        twin = np.flatnonzero(same & inner)
+        inner &= b != end
+        inner &= ~same
+        a <<= WIDE
+        a += b
+        found, n = _tally(a[inner])
+        often = n >= least
+        return found[often], n[often], twin
+
+    known, times, twin = counted(seq[:-1].copy(), seq[1:])
+    made = 0
     while True:
         twins = _apart(twin)
         same, often = _tally(pair(twins))
@@ -424,10 +425,12 @@ def compress(ids: np.ndarray, end: int, base: int, least: int = 2, share: float
         spot -= np.arange(len(spot))
         before = spot[~np.append(False, joint[:-1])] - 1
         around = np.concatenate([before[before >= 0], spot[spot < len(seq) - 1]])
-        twin = np.concatenate([_twins(seq, twin[twin < len(seq) - 1], end), _twins(seq, around, end)])
+        fresh, n, new = counted(seq[around], seq[around + 1])
+        twin = twin[twin < len(seq) - 1]
+        twin = twin[seq[twin] == seq[twin + 1]]  # of no end ids: those never come anew
+        twin = np.concatenate([twin, around[new]])
         twin.sort()
         twin = twin[np.diff(twin, prepend=-1) > 0]
-        fresh, n = counted(pair(around))
         still = times >= least
         known, times = np.concatenate([known[still], fresh]), np.concatenate([times[still], n])
         order = np.argsort(known, kind="stable")
