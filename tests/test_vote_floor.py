@@ -20,7 +20,7 @@ def test_no_threshold_keeps_pairs_of_one_vote(spark):
     assert met(spark, 4) == met(spark, None) == [(0, 1)]
 
 
-@pytest.mark.parametrize("name", ["c_canonical_rank"])
+@pytest.mark.parametrize("name", ["c_canonical_rank", "e2e_triage_profile"])
 def test_the_query_and_its_sql_have_no_switch(spark, monkeypatch, name):
     seen = []
 
