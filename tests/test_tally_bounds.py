@@ -75,3 +75,22 @@ def test_best_are_right_across_ranges(spark, monkeypatch):
     got = {(r["holder"], r["rank"]): (r["other"], r["votes"]) for r in tally.tally(df, {}, 2).collect()}
     same = {h: [o for o in range(h % 6, 500, 6) if o != h] for h in range(500)}
     assert got == {(h, i + 1): (same[h][i], 3) for h in range(500) for i in range(2)}
+
+
+def test_cells_of_the_best_hold_few_askers(spark, monkeypatch):
+    monkeypatch.setattr(tally, "ASKS", 60, raising=False)
+    real = tally._cell
+
+    def bounded(ranges, k):
+        run = real(ranges, k)
+
+        def checked(table):
+            assert sum(map(len, table.column("asks").to_pylist())) <= 90
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(tally, "_cell", bounded)
+    df = spark.range(900).select((F.col("id") / 3).cast("long").alias("key"), F.col("id").alias("holder"), F.lit(256).cast("long").alias("w"))
+    got = {(r["holder"], r["rank"]): (r["other"], r["votes"]) for r in tally.tally(df, {}, 1).collect()}
+    assert got == {(h, 1): (h - h % 3 + (h % 3 == 0), 1) for h in range(900)}
